@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, counts, decontam, langid, media, packing, simhash
 
 QUERIES = {
+    "op6_media": media.op6_media,
+    "op7_packing": packing.op7_packing,
+    "op9_token_counts": counts.op9_token_counts,
+    "op10_language": langid.op10_language,
+    "op2_decontaminate": decontam.op2_decontaminate,
+    "op3_simhash": simhash.op3_simhash,
     "op8_bpe": bpe.op8_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontam.OP2_SQL,
+}
