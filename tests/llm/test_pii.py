@@ -1,0 +1,69 @@
+import hashlib
+import random
+import re
+
+from tidemark.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def cases():
+    r = random.Random(8)
+    parts = ["a", "b.c", "@", "x@y.z", "..", ".", "+", "-", " ", "é", "日", "𝒳", "1", "22", "0255", "256.1.1.1", "192.168.0.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (555) 010-2030", "%", "(", "tel ", "4111-1111-1111-1112", "\n", "_c@d.e"]
+    texts = [None, "", "a@b.c_d@e.f", "++1 23 456 789 0", "00000000000000", "1" * 5000, "9 " * 3000, "a" * 20000, "a@b" + ".c" * 20000, "1." * 20000, "+1" + "-2" * 9000, "x@y.zz é +49 (30) 1234567 ü 10.0.0.256 010.000.0.1"]
+    return texts + ["".join(r.choice(parts) for _ in range(r.randrange(1, 25))) for _ in range(300)]
+
+
+def test_base_spans_match_brute_force(spark, make, folder):
+    texts = cases() + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = {r.doc_id: r for r in pii.op1_pii(spark, folder(documents=make(*texts).repartition(4))).collect()}
+    for i, t in enumerate(texts):
+        want = brute(t)
+        r = rows[i]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (i, want, r.spans)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in want) for k in PATTERNS]
+        spans = r.spans.split(",") if r.spans else []
+        assert set(want) <= set(spans) and len(spans) == len(want) + r.n_added
+        assert [s.split(":")[0] for s in spans] == sorted((s.split(":")[0] for s in spans), key=list(PATTERNS).index)
+
+
+def test_boosting_takes_what_looks_like_personal_data():
+    cell = lambda digits, n, good, held: dict.fromkeys(pii.FEATURES, 0) | {"kind": 2, "digits": digits, "n": n, "good": good, "held": held}
+    cells = [cell(d, 100, 98 if d == 16 else 2, h) for d in range(10, 20) for h in (0, 1)]
+    m = pii.boost(cells)
+    assert m.least is not None
+    assert [d for d in range(10, 20) if m.score(cell(d, 0, 0, 0)) >= m.least] == [16]
+    assert pii.boost([]).least is None and pii.boost([cell(16, 5, 5, 0)]).least is None
+
+
+def test_redaction(spark, make):
+    texts = [None, "", "clean 12 text", "é mail a.b@c.de now +1 (555) 010-2030!", "1@2.3.4.5.6 x"]
+    rows = {r.doc_id: r for r in pii.redact(make(*texts), pii.Model()).collect()}
+    assert [rows[i].text for i in range(4)] == [None, "", "clean 12 text", "é mail [EMAIL] now [PHONE]!"]
+    assert rows[3].n_chars == len(rows[3].text) and rows[4].text == "[EMAIL] x"
+    m = pii.Model(0.0, [pii.Tree("digits", 15, -1.0, 1.0)], 0.5)
+    assert pii.redact(make("id 4111111111111112 z"), m).collect()[0].text == "id [IP] z"
+
+
+def test_empty_table(spark, make, folder):
+    assert pii.op1_pii(spark, folder(documents=make("x").limit(0))).count() == 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, counts, decontam, langid, media, packing, simhash
+from tidemark.llm import bpe, counts, decontam, langid, media, packing, pii, quality, simhash
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op5_quality": quality.op5_quality,
     "op6_media": media.op6_media,
     "op7_packing": packing.op7_packing,
     "op9_token_counts": counts.op9_token_counts,
