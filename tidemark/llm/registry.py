@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, counts, decontam, langid, media, packing, pii, quality, simhash
+from tidemark.llm import bpe, counts, decontam, langid, maxent, media, packing, pii, quality, simhash
 
 QUERIES = {
+    "op4_lm": maxent.op4_lm,
     "op1_pii": pii.op1_pii,
     "op5_quality": quality.op5_quality,
     "op6_media": media.op6_media,
