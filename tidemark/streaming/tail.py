@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidemark.errors import EngineError, SerializationFailure
 from tidemark.operators import overlay
@@ -229,7 +229,7 @@ class TailSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _TailReader(self.options, schema)
 
-    def simpleStreamReader(self, schema: T.StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
         return _TailStream(self.options, schema)
 
 
@@ -244,25 +244,21 @@ class _TailReader(DataSourceReader):
         return _rows(partition.record, self.since, self.names)
 
 
-class _TailStream(SimpleDataSourceStreamReader):
+class _TailStream(DataSourceStreamReader):
+    """Offsets are sequence numbers; each batch of the log is a partition, read by an executor."""
+
     def __init__(self, options: dict, schema: T.StructType) -> None:
         self.folder, self.since, self.names = options["folder"], int(options.get("from_seq", 0)), schema.names
 
     def initialOffset(self) -> dict:
         return {"seq": self.since}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        log = [b for b in _log(self.folder) if b["last"] > start["seq"]]
-        end = {"seq": log[-1]["last"] if log else start["seq"]}
-        return (row for b in log for row in _rows(b, start["seq"], self.names)), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for b in _log(self.folder):
-            if b["last"] > start["seq"] and b["first"] <= end["seq"]:
-                for row in _rows(b, start["seq"], self.names):
-                    if row[self.names.index(SEQ)] <= end["seq"]:
-                        yield row
+    def latestOffset(self) -> dict:
+        return {"seq": max([self.since, *(b["last"] for b in _log(self.folder))])}
 
-    def commit(self, end: dict) -> None:
-        pass
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Batch(b | {"since": start["seq"], "until": end["seq"]}) for b in _log(self.folder) if b["last"] > start["seq"] and b["first"] <= end["seq"]]
 
+    def read(self, partition: _Batch) -> Iterator[tuple]:
+        place = self.names.index(SEQ)
+        return (r for r in _rows(partition.record, partition.record["since"], self.names) if r[place] <= partition.record["until"])
