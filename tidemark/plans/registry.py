@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import relational
+
+QUERIES = dict(relational.QUERIES)
+ORACLE_SQL = dict(relational.ORACLE_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["inner_join_agg"](spark, sf_dir)
