@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import relational
+from tidemark.plans import relational, versioned
 
-QUERIES = dict(relational.QUERIES)
-ORACLE_SQL = dict(relational.ORACLE_SQL)
+QUERIES = relational.QUERIES | versioned.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL | versioned.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["inner_join_agg"](spark, sf_dir)
+    return QUERIES["merged_fresh"](spark, sf_dir)
