@@ -156,3 +156,21 @@ def test_functions(spark):
     assert one(compat.array_distance(F.array(F.lit(0.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(0.0)))) == 5.0 and one(compat.array_sum(a)) == 8
     assert str(one(compat.date_bin(900, F.lit("2024-01-01 10:29:59").cast("timestamp_ntz")))) == "2024-01-01 10:15:00"
     assert one(compat.array_has_all(a, F.array(F.lit(1), F.lit(3)))) and one(compat.generate_subscripts(a)) == [1, 2, 3, 4]
+
+
+def test_system_tables_and_guards(engine, tmp_path):
+    from tidemark.sources import system
+
+    engine.sql("CREATE TABLE t (id BIGINT NOT NULL, v TEXT)")
+    engine.sql("INSERT INTO t SELECT id, 'x' FROM range(10000)")
+    got = engine.query("SELECT n.nspname, c.relname, a.attname, t.typname FROM pg_catalog.pg_class c JOIN pg_namespace n ON c.relnamespace = n.oid JOIN pg_attribute a ON a.attrelid = c.oid JOIN pg_type t ON t.oid = a.atttypid")
+    assert rows(got) == [("public", "t", "id", "bigint"), ("public", "t", "v", "string")]
+    assert sum(b.num_rows for b in system.guarded(engine.query("SELECT * FROM t"))) == 10000
+    with pytest.raises(EngineError, match="bytes"):
+        list(system.guarded(engine.query("SELECT * FROM t"), max_bytes=100))
+    system.extract(engine.query("SELECT * FROM t"), str(tmp_path / "out"))
+    assert system.external(engine.spark, "parquet", str(tmp_path / "out")).count() == 10000
+    with pytest.raises(EngineError):
+        system.external(engine.spark, "csv", "x")
+    assert system.tails(engine.catalog).count() == 0
+    assert engine.metrics.counts["select"] >= 2
