@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,3 +28,28 @@ def scratch(spark: SparkSession) -> str:
 def lake(spark: SparkSession) -> Catalog:
     """A new, empty catalog."""
     return Catalog(spark, f"{scratch(spark)}/lake-{uuid.uuid4().hex}")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the session's executors, once: they import it when they run its functions."""
+    import zipfile
+    from pathlib import Path
+
+    import tidemark
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(tidemark.__file__).parent
+    # the driver serves this file as long as it runs
+    d = tempfile.mkdtemp(prefix="tidemark-package-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    path = f"{d}/tidemark_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, f"tidemark/{p.relative_to(top)}")
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
