@@ -51,3 +51,9 @@ def crc_of_id(column: str | Column) -> Column:
 def texts_of(batch, name: str = "text") -> list[str]:
     """The column as Python strings, null as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+def set_aside(df: DataFrame, used: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of names that an operator uses itself renamed, and their own names by the new ones."""
+    clash = {c: f"__own_{c}" for c in df.columns if c.lower() in used}
+    return df.withColumnsRenamed(clash), {new: old for old, new in clash.items()}

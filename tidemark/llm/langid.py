@@ -191,7 +191,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Identifier:
     counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Identifier(None)
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, fit_docs / n)))), F.col("lang"))
+    share = F.try_element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, fit_docs / n)))), F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(F.col("lang").isin(list(counts)) & (place < share)).withColumn("back", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0)
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import cut, table
+from tidemark.llm._shared import cut, set_aside, table
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -273,6 +273,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     ``n_chars`` follows the text. Null texts stay null.
     """
+    docs, back = set_aside(docs, {"_loose", "_added", "_spans", "_new", *(f"_{k}" for k in (*KINDS, *LOOSE))})
     proposed = propose(docs)
     if model is None:
         model = fit(cut(propose(docs.select("doc_id", "text")).drop("text")))
@@ -288,7 +289,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     text = F.when(F.size("_spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
     out = found.withColumn("_new", text)
     columns = [F.col("_new").alias("text") if c == "text" else F.when((F.size("_spans") > 0), F.char_length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(columns)
+    return out.select(columns).withColumnsRenamed(back)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

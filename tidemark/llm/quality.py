@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import table, texts_of
+from tidemark.llm._shared import set_aside, table, texts_of
 from tidemark.llm.counts import words_by_row
 
 #: Bounds of the fitting sample, hashed content features, rounds, and the share of the pool that a view labels in each.
@@ -195,6 +195,7 @@ def _share(column: str, salt: int, share: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_labelled: int = FIT_LABELLED, fit_pool: int = FIT_POOL) -> Model:
+    docs = docs.select("doc_id", "text", "source", "lang")
     known = labels.where("doc_id is not null and quality is not null")
     n, total = known.count(), docs.count()
     sample = known.where(_share("doc_id", 11, fit_labelled / max(n, 1))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
@@ -231,6 +232,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_labelled: int = FIT_LABELLED, fi
 SCORED = "p_content double, p_meta double, score double, keep boolean"
 
 
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model keeps, with their columns."""
+    own, back = set_aside(docs, {"p_content", "p_meta", "score", "keep"})
+    return classify(own, model).where("keep").drop("p_content", "p_meta", "score", "keep").withColumnsRenamed(back)
+
+
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with p_content, p_meta, score and keep."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import cut, table, texts_of
+from tidemark.llm._shared import cut, set_aside, table, texts_of
 from tidemark.llm.components import components
 
 SEED = 42
@@ -254,6 +254,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     without words (null too) are of no group, and all stay, as do rows of null
     doc_id. Of repeated rows of one doc_id and text one stays.
     """
+    docs, back = set_aside(docs, {"digest", "row", "head", "_may"})
     clean = docs.where("doc_id is not null")
     keyed = clean.withColumns({"digest": F.xxhash64("text", F.length("text")), "row": F.xxhash64("doc_id", "text", F.length("text"))})
     n = docs.count()
@@ -275,4 +276,4 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     marked = _may_hold(keyed, "row", doubtful)
     tried = marked.where("_may").join(doubtful, "row", "left")
     tried = tried.where("head is null").union(tried.where("head").dropDuplicates(["row"]))
-    return marked.where("not _may").select(docs.columns).union(tried.select(docs.columns)).union(docs.where("doc_id is null"))
+    return marked.where("not _may").select(docs.columns).union(tried.select(docs.columns)).union(docs.where("doc_id is null")).withColumnsRenamed(back)
