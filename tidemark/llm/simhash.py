@@ -173,16 +173,16 @@ def _most(similarity: float, bits: int) -> int:
 def candidates(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of fingerprints ``fp`` that meet on a variant of a band and agree on enough of the first word.
 
-    Each member of a variant meets the three before it and the first, in the
-    order of the fingerprint, so that pairs grow with the members and not with
-    their square; other bands and variants deal the members differently.
+    Each member of a variant meets the one before it and the first, in the order
+    of the fingerprint, so that pairs grow with the members and not with their
+    square; other bands and variants deal the members differently.
     """
     flips = F.array(*(F.lit(m) for m in ball(1, bits)))
     banded = prints.select("fp", F.posexplode("cuts").alias("band", "cut"))
     # a band's number is mixed in, so that one column is the key
     keys = banded.select("fp", F.explode(F.transform(flips, lambda m: F.xxhash64("band", F.col("cut").bitwiseXOR(m)))).alias("variant"))
     window = Window.partitionBy("variant").orderBy("fp")
-    near = F.array(*(F.lag("fp", k).over(window) for k in (1, 2, 3)), F.first("fp").over(window))
+    near = F.array(F.lag("fp").over(window), F.first("fp").over(window))
     met = keys.select(F.col("fp").alias("a"), near.alias("near")).where("near[0] is not null")
     most = _most(similarity, 64)
     passed = F.filter(F.array_distinct("near"), lambda x: x.isNotNull() & (x != F.col("a")) & (F.bit_count(x.bitwiseXOR(F.col("a"))) <= most))
