@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import cut, set_aside, table, texts_of
+from tidemark.llm._shared import cut, release, set_aside, table, texts_of
 from tidemark.llm.components import components
 
 SEED = 42
@@ -124,7 +124,7 @@ def flip_rate(similarity: float) -> float:
 
 def plan_bands(n_texts: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a band and number of bands, from the number of texts: as the bits grow with its logarithm, so do the bands."""
-    bits = min(62, max(16, math.ceil(math.log2(max(2, n_texts))) + SPARE_BITS))
+    bits = min(56, max(16, math.ceil(math.log2(max(2, n_texts))) + SPARE_BITS))
     p = flip_rate(similarity)
     hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
@@ -179,8 +179,8 @@ def candidates(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
     """
     flips = F.array(*(F.lit(m) for m in ball(1, bits)))
     banded = prints.select("fp", F.posexplode("cuts").alias("band", "cut"))
-    # a band's number is mixed in, so that one column is the key
-    keys = banded.select("fp", F.explode(F.transform(flips, lambda m: F.xxhash64("band", F.col("cut").bitwiseXOR(m)))).alias("variant"))
+    # a band's number goes above its bits: one column is the key, with few bytes that aren't zero
+    keys = banded.select("fp", F.explode(F.transform(flips, lambda m: F.shiftleft(F.col("band").cast("bigint"), bits) + F.col("cut").bitwiseXOR(m))).alias("variant"))
     window = Window.partitionBy("variant").orderBy("fp")
     near = F.array(F.lag("fp").over(window), F.first("fp").over(window))
     met = keys.select(F.col("fp").alias("a"), near.alias("near")).where("near[0] is not null")
@@ -268,7 +268,12 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     words = -(-bits * bands // 64)
     close = met.withColumnsRenamed({"a": "fa", "b": "fb"}).join(side("a", "ra", "x", "fa"), "fa").join(side("b", "rb", "y", "fb"), "fb").where(apart <= _most(similarity, 64 * words)).select("a", "ra", "b", "rb")
     same = texts.select("fp", F.col("digest").alias("a"), F.col("row").alias("ra")).join(one.select("fp", F.col("digest").alias("b"), F.col("row").alias("rb")), "fp").where("a <> b").drop("fp")
-    roots = components(cut(_verified(keyed, cut(close.union(same)), similarity, width)))
+    pairs = cut(close.union(same))
+    del met, close, same
+    release(docs.sparkSession)
+    links = cut(_verified(keyed, pairs, similarity, width))
+    release(docs.sparkSession)
+    roots = components(links)
     grouped = texts.select("digest", "head", "row").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     heads = cut(grouped.groupBy("root").agg(F.min_by("row", F.struct("head", "row")).alias("row")).select("row"))
     rows = prints.groupBy("row").agg(F.count("*").alias("n"))
