@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,25 @@ def texts_of(batch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+class WorkerCache(dict):
+    """What a Python worker keeps for an operator between tasks. Workers run one stage after another: only the last operator's stays."""
+
+    every: list[WorkerCache] = []
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.every.append(self)
+
+    def mine(self) -> None:
+        """Drops what other operators have kept."""
+        held = [c for c in self.every if c and c is not self]
+        for c in held:
+            c.clear()
+        if held:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+
 def set_aside(df: DataFrame, used: set[str]) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns of names that an operator uses itself renamed, and their own names by the new ones."""
     clash = {c: f"__own_{c}" for c in df.columns if c.lower() in used}

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import table, texts_of
+from tidemark.llm._shared import WorkerCache, table, texts_of
 
 #: The pre-tokeniser's pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,7 +33,7 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+
 #: Words of more bytes than this are merged with the heap.
 SHORT_WORD = 128
 #: Words remembered by a worker; beyond it, it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 NO_RANK = 1 << 30
 
 
@@ -153,11 +153,12 @@ class _Words(dict):
         return out
 
 
-_codecs: dict[str, ByteBpe] = {}
+_codecs = WorkerCache()
 
 
 def codec(path: str) -> ByteBpe:
     """One for each worker and file."""
+    _codecs.mine()
     if path not in _codecs:
         _codecs[path] = ByteBpe(path)
     return _codecs[path]

@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import table
+from tidemark.llm._shared import WorkerCache, table
 
 #: Words remembered by a worker; beyond it, it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 def vocabulary(path: str | None = None) -> list[bytes]:
@@ -89,10 +89,11 @@ class LongestMatch:
         return pieces
 
 
-_automata: dict[str | None, tuple[LongestMatch, dict[str, int]]] = {}
+_automata = WorkerCache()
 
 
 def automaton(path: str | None) -> tuple[LongestMatch, dict[str, int]]:
+    _automata.mine()
     if path not in _automata:
         _automata[path] = (LongestMatch(vocabulary(path)), {})
     return _automata[path]

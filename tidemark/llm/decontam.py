@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import table, texts_of
+from tidemark.llm._shared import WorkerCache, table, texts_of
 
 WINDOW = 13
 #: A document is contaminated from this share of hit words: one in so many.
@@ -178,14 +177,16 @@ def blocks_of(spark: SparkSession, benchmark: DataFrame, block_words: int = BLOC
     return blocks
 
 
-_built: OrderedDict = OrderedDict()
+_built = WorkerCache()
 
 
 def automaton(block: tuple, window: int) -> Automaton:
     key = (block[0], window)
+    _built.mine()
     if key not in _built:
         while len(_built) >= HELD_BLOCKS:
-            _built.popitem(last=False)
+            # the one that was built first
+            del _built[next(iter(_built))]
         _built[key] = Automaton(block[1].value, window)
     return _built[key]
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import crc_of_id, table
+from tidemark.llm._shared import WorkerCache, crc_of_id, table
 from tidemark.llm.counts import words_by_row
 
 ORDER = 4
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Identifier:
 
 
 PREDICTED = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean, cross_entropy double"
-_scorers: dict[str, _Scorer] = {}
+_scorers = WorkerCache()
 
 
 def predict(docs: DataFrame, identifier: Identifier) -> DataFrame:
@@ -247,6 +247,7 @@ def predict(docs: DataFrame, identifier: Identifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
+        _scorers.mine()
         if name not in _scorers and own.model is not None:
             _scorers.clear()
             _scorers[name] = _Scorer(own.model)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import table
+from tidemark.llm._shared import WorkerCache, table
 from tidemark.llm.bpe import ASCII_PATTERN, CACHE_WORDS, PATTERN
 
 ROW_TOKENS = 2048
@@ -124,10 +124,11 @@ class _Encoder:
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u2")
 
 
-_encoders: dict[str, _Encoder] = {}
+_encoders = WorkerCache()
 
 
 def _encoder(path: str) -> _Encoder:
+    _encoders.mine()
     if path not in _encoders:
         _encoders[path] = _Encoder(path)
     return _encoders[path]

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import set_aside, table, texts_of
+from tidemark.llm._shared import WorkerCache, set_aside, table, texts_of
 from tidemark.llm.counts import words_by_row
 
 #: Bounds of the fitting sample, hashed content features, rounds, and the share of the pool that a view labels in each.
 FIT_LABELLED, FIT_POOL, CONTENT, ROUNDS, SHARE = 4000, 4000, 1024, 4, 0.1
 REJECT_GOOD = 0.002
 SOURCES, LANGS = 32, 8
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: Class of each byte: upper, lower, digit, blank, line end, ordinary punctuation, other sign, part of another character.
 _CLASS = np.array([7 if b >= 0x80 else 0 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 2 if 48 <= b <= 57 else 4 if b == 10 else 3 if b in b" \t\r\v\f" else 5 if b in b".,;:'\"-()?" else 6 for b in range(256)], np.uint8)
@@ -187,7 +187,14 @@ class Model:
         return p[0], p[1], p[2]
 
 
-_features = _Features()
+_made = WorkerCache()
+
+
+def _features() -> _Features:
+    _made.mine()
+    if "features" not in _made:
+        _made["features"] = _Features()
+    return _made["features"]
 
 
 def _share(column: str, salt: int, share: float):
@@ -204,10 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_labelled: int = FIT_LABELLED, fi
     rows = docs.join(F.broadcast(sample), "doc_id").select(*pool.columns).union(pool)
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _features()
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                (document, feature, share), meta, _ = _features.views(part)
+                (document, feature, share), meta, _ = own.views(part)
                 cuts = np.searchsorted(document, np.arange(part.num_rows + 1))
                 spans = list(zip(cuts[:-1], cuts[1:]))
                 yield pa.RecordBatch.from_arrays(
@@ -245,11 +253,11 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, features = sent.value, _features()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                (document, feature, share), meta, words = _features.views(b)
+                (document, feature, share), meta, words = features.views(b)
                 some = words > 0
                 if own.content is None:
                     p = [np.where(some, 0.5, 0.0)] * 3
