@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from tidemark.llm import simhash
@@ -95,6 +96,48 @@ def test_deduplicate_keeps_one_of_each_group(spark, make):
     assert kept == sorted(set(roots.values()))
 
 
+def star(r, copies, words=600, edits=12):
+    """An original and copies at a similarity of about 0.82 to it and 0.67 to each other."""
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    base = [word() for _ in range(words)]
+    out = [base]
+    for _ in range(copies):
+        t = list(base)
+        at = r.sample(range(words // 6), edits)
+        for i in at:
+            t[6 * i + 3] = word()
+        out.append(t)
+    return [" ".join(t) for t in out]
+
+
+def found(texts, n):
+    """Roots of the texts by all pairs that meet on a band's variant, whatever the number that meet there."""
+    bits, bands = simhash.plan_bands(n)
+    words = -(-bits * bands // 64)
+    sets = [np.unique(simhash.shingle_hashes(t, simhash.SHINGLE)) for t in texts]
+    longs = [simhash.long_fingerprint(h, words) for h in sets]
+    cuts = [simhash._bands(x, bits, bands) for x in longs]
+
+    def linked(i, j):
+        if (longs[i][0] ^ longs[j][0]).bit_count() > simhash._most(0.8, 64) or all((x ^ y).bit_count() > 2 for x, y in zip(cuts[i], cuts[j])):
+            return False
+        if sum((x ^ y).bit_count() for x, y in zip(longs[i], longs[j])) > simhash._most(0.8, 64 * words):
+            return False
+        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)
+
+    return groups(range(len(texts)), linked)
+
+
+def test_a_star_of_copies_is_one_group(spark, make, monkeypatch):
+    texts = star(random.Random(13), 500)
+    want = sorted(set(found(texts, len(texts)).values()))
+    assert len(want) < 10
+    assert sorted(x.doc_id for x in simhash.deduplicate(make(*texts)).collect()) == want
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", 16)
+    assert sorted(x.doc_id for x in simhash.deduplicate(make(*texts)).collect()) == want
+
+
 def test_empty_table(spark, make, folder):
     assert simhash.op3_simhash(spark, folder(documents=make("x").limit(0))).count() == 0
     assert simhash.deduplicate(make("x").limit(0)).count() == 0

@@ -170,12 +170,17 @@ def _most(similarity: float, bits: int) -> int:
     return int(bits * min(0.5, p + ERRORS * math.sqrt(p * (1 - p) / bits)))
 
 
-def candidates(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of fingerprints ``fp`` that meet on a variant of a band and agree on enough of the first word.
+#: Members of a variant of which the one before and the first make all pairs, and those of a block in which larger ones are paired.
+FEW, GROUP_BLOCK = 3, 1024
+
+
+def meetings(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """(fp, variant, near): the fingerprints that one meets on a variant of a band and agrees with on enough of the first word.
 
     Each member of a variant meets the one before it and the first, in the order
-    of the fingerprint, so that pairs grow with the members and not with their
-    square; other bands and variants deal the members differently.
+    of the fingerprint: all pairs of up to FEW members. In a larger variant they
+    are but a first try, and ``variant`` is set for across() to pair the rest; it
+    is null elsewhere.
     """
     flips = F.array(*(F.lit(m) for m in ball(1, bits)))
     banded = prints.select("fp", F.posexplode("cuts").alias("band", "cut"))
@@ -183,10 +188,29 @@ def candidates(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
     keys = banded.select("fp", F.explode(F.transform(flips, lambda m: F.shiftleft(F.col("band").cast("bigint"), bits) + F.col("cut").bitwiseXOR(m))).alias("variant"))
     window = Window.partitionBy("variant").orderBy("fp")
     near = F.array(F.lag("fp").over(window), F.first("fp").over(window))
-    met = keys.select(F.col("fp").alias("a"), near.alias("near")).where("near[0] is not null")
+    met = keys.select("fp", "variant", near.alias("near"), F.count("*").over(Window.partitionBy("variant")).alias("n")).where("n > 1")
     most = _most(similarity, 64)
-    passed = F.filter(F.array_distinct("near"), lambda x: x.isNotNull() & (x != F.col("a")) & (F.bit_count(x.bitwiseXOR(F.col("a"))) <= most))
-    return met.select("a", F.explode(passed).alias("b")).distinct()
+    passed = F.filter(F.array_distinct("near"), lambda x: x.isNotNull() & (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= most))
+    return met.select("fp", F.when(F.col("n") > FEW, F.col("variant")).alias("variant"), passed.alias("near")).where("variant is not null or size(near) > 0")
+
+
+def across(crowded: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of digests: all that share a variant, have different roots, and agree on enough of the first word.
+
+    ``crowded``: (variant, fp); ``members``: (fp, digest, root). What is linked
+    already needs no pair, so a variant of one root makes none. A large variant
+    is dealt into blocks by the digest, and every two blocks meet in a group of
+    their own, so that no task has a whole variant to pair.
+    """
+    each = cut(crowded.join(members, "fp"))
+    several = each.groupBy("variant").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    blocks = several.select("variant", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
+    dealt = each.join(blocks, "variant").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    left = dealt.select("variant", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), F.col("digest").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("xa"))
+    right = dealt.select("variant", F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"), F.col("digest").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("xb"))
+    where = (F.col("xa") != F.col("xb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= _most(similarity, 64))
+    both = left.join(right, ["variant", "lo", "hi"]).where(where)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -262,18 +286,31 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     prints = cut(_prints(keyed, width, bits, bands))
     texts = cut(prints.groupBy("digest").agg(F.min_by(F.struct("row", "fp", "long", "cuts"), F.struct("doc_id", "row")).alias("x"), F.min("doc_id").alias("head")).select("digest", "head", "x.*"))
     one = cut(texts.groupBy("fp").agg(F.min_by(F.struct("digest", "row", "long", "cuts"), "digest").alias("x")).select("fp", "x.*"))
-    met = candidates(one, bits, similarity)
-    side = lambda a, r, x, fp: one.select(F.col("digest").alias(a), F.col("row").alias(r), F.col("long").alias(x), F.col("fp").alias(fp))
+    met = cut(meetings(one, bits, similarity))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     words = -(-bits * bands // 64)
-    close = met.withColumnsRenamed({"a": "fa", "b": "fb"}).join(side("a", "ra", "x", "fa"), "fa").join(side("b", "rb", "y", "fb"), "fb").where(apart <= _most(similarity, 64 * words)).select("a", "ra", "b", "rb")
+
+    def close(pairs: DataFrame, key: str) -> DataFrame:
+        side = lambda at, a, r, x: one.select(F.col(key).alias(at), F.col("digest").alias(a), F.col("row").alias(r), F.col("long").alias(x))
+        return pairs.join(side("at", "a", "ra", "x"), "at").join(side("bt", "b", "rb", "y"), "bt").where(apart <= _most(similarity, 64 * words)).select("a", "ra", "b", "rb")
+
     same = texts.select("fp", F.col("digest").alias("a"), F.col("row").alias("ra")).join(one.select("fp", F.col("digest").alias("b"), F.col("row").alias("rb")), "fp").where("a <> b").drop("fp")
-    pairs = cut(close.union(same))
-    del met, close, same
+    first = met.select(F.col("fp").alias("at"), F.explode("near").alias("bt")).distinct()
+    pairs = cut(close(first, "fp").union(same))
+    del same, first
     release(docs.sparkSession)
     links = cut(_verified(keyed, pairs, similarity, width))
     release(docs.sparkSession)
     roots = components(links)
+    # in larger variants, all pairs of what the first ones have not linked
+    rooted = cut(one.select("fp", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    rest = cut(close(across(met.where("variant is not null").select("variant", "fp"), rooted, similarity).withColumnsRenamed({"a": "at", "b": "bt"}), "digest"))
+    if not rest.isEmpty():
+        more = cut(_verified(keyed, rest, similarity, width))
+        release(docs.sparkSession)
+        if not more.isEmpty():
+            roots = components(links.union(more))
+    del met, rest
     grouped = texts.select("digest", "head", "row").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     heads = cut(grouped.groupBy("root").agg(F.min_by("row", F.struct("head", "row")).alias("row")).select("row"))
     rows = prints.groupBy("row").agg(F.count("*").alias("n"))
