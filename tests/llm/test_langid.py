@@ -45,3 +45,13 @@ def test_texts_without_letters_and_empty_tables(spark, make, folder):
     rows = {r.doc_id: r for r in langid.op10_language(spark, d).collect()}
     assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (0, 1, 2, 5))
     assert langid.op10_language(spark, folder(documents=make("x").limit(0))).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    # one row each: the held-back fifth would take all of a language
+    rows = [(i, " ".join([chr(0x4E00 + i) * 3] * 5), f"l{i:03}") for i in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.fit(docs)
+    assert set(got.model.languages) == {lang for _, _, lang in rows}
+    pred = {r.doc_id: r.lang_pred for r in langid.predict(docs, got).collect()}
+    assert pred == {i: lang for i, _, lang in rows}

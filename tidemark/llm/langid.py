@@ -11,7 +11,7 @@ threshold are marked as rejected.
 
 Fitting takes a bounded sample: documents of a language with hashes under
 FIT_DOCS over its count, so about FIT_DOCS of each; counts of languages cover
-all rows. Everything else covers all documents and whole texts. Null texts and
+all rows, and all languages are learned. Everything else covers all documents and whole texts. Null texts and
 texts without a letter are ``und`` with score 0; without training documents all
 are. Ties take the language first in order. Repeated rows give repeated rows.
 """
@@ -30,12 +30,14 @@ from tidemark.llm._shared import WorkerCache, crc_of_id, table
 from tidemark.llm.counts import words_by_row
 
 ORDER = 4
-#: Documents of a language that its model is fitted on, about; languages at most (the most frequent).
-FIT_DOCS, MOST_LANGUAGES = 400, 200
+#: Documents of a language that its model is fitted on, about.
+FIT_DOCS = 400
 DISCOUNT = 0.75
 #: Share of right held-back documents that a rejection may cost.
 REJECT_RIGHT = 0.005
 CACHE_WORDS = 300_000
+#: Values of words by languages that are kept, and that are scored at once.
+CACHE_CELLS, SCORE_CELLS = 60_000_000, 4_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,12 +155,14 @@ class _Scorer:
             return sums, np.zeros(n)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
+        languages = len(self.model.languages)
+        if len(self.known) > min(CACHE_WORDS, CACHE_CELLS // languages):
             self.known, self.values = {}, self.values[:0]
         new = [w for w in distinct if w not in self.known]
         if new:
             self.known |= {w: len(self.values) + i for i, w in enumerate(new)}
-            self.values = np.concatenate([self.values, *(self.model.score(new[at : at + 20_000]) for at in range(0, len(new), 20_000))])
+            step = max(1, min(20_000, SCORE_CELLS // languages))
+            self.values = np.concatenate([self.values, *(self.model.score(new[at : at + step]) for at in range(0, len(new), step))])
         each = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         for k in range(sums.shape[1]):
             sums[:, k] = np.bincount(row, weights=self.values[each, k], minlength=n)
@@ -188,12 +192,12 @@ class Identifier:
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Identifier:
     """Models of the languages in ``docs`` (doc_id, text, lang), which are all there is to learn from."""
     labelled = docs.where("lang is not null and text is not null")
-    counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Identifier(None)
     share = F.try_element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, fit_docs / n)))), F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(F.col("lang").isin(list(counts)) & (place < share)).withColumn("back", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0)
+    sample = labelled.where(place < share).withColumn("back", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,10 +206,18 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Identifier:
                 counted = pc.value_counts(words_by_row(pc.utf8_lower(own.column("text")))[1])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted), pa.string()), counted.field("values"), counted.field("counts")], names=["lang", "word", "n"])
 
-    fitted = sample.where("not back").select("lang", "text").mapInArrow(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     samples: dict[str, dict[str, int]] = {}
-    for lang, word, n in zip(*(fitted[c].to_pylist() for c in ("lang", "word", "n"))):
-        samples.setdefault(lang, {})[word] = n
+
+    def learn(rows: DataFrame) -> None:
+        fitted = rows.select("lang", "text").mapInArrow(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+        for lang, word, n in zip(*(fitted[c].to_pylist() for c in ("lang", "word", "n"))):
+            samples.setdefault(lang, {})[word] = n
+
+    learn(sample.where("not back"))
+    # languages with words in held-back rows alone: they are learned from, and not calibrated on
+    lost = set(counts) - set(samples)
+    if lost:
+        learn(sample.where(F.col("back") & F.col("lang").isin(list(lost))))
     if not samples:
         return Identifier(None)
     model = KneserNey(samples)
@@ -218,7 +230,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Identifier:
         return Identifier(model)
     sums, chars = np.concatenate(logs), np.concatenate(sizes)
     place_of = {lang: k for k, lang in enumerate(model.languages)}
-    truth = np.array([place_of.get(x, -1) for x in langs])
+    truth = np.array([-1 if x in lost else place_of.get(x, -1) for x in langs])
     use = (chars > 0) & (truth >= 0)
     sums, chars, truth = sums[use], chars[use], truth[use]
     if not len(truth):
