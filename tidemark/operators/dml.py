@@ -137,7 +137,7 @@ def prepare(catalog: Catalog, table: Table, snapshot: Snapshot | None, ops: list
         if isinstance(op, Update):
             check_assignments(op, schema.names)
     files = catalog.files(table, snapshot)
-    rewrite, _ = touched(catalog, table, files, ops)
+    rewrite, met = touched(catalog, table, files, ops)
     paths = {f.path for f in rewrite}
     kept = [f for f in files if f.path not in paths]
     layers: list[DataFrame] = [catalog.read_files(table, rewrite)] if rewrite else []
@@ -147,7 +147,8 @@ def prepare(catalog: Catalog, table: Table, snapshot: Snapshot | None, ops: list
             layers.append(align(op.rows, schema))
             counts.append(-1)
         else:
-            counts.append(sum(x.where(matches(op)).count() for x in layers))
+            # a first change meets what was counted with the files
+            counts.append(met[0] if not counts else sum(x.where(matches(op)).count() for x in layers))
             layers = [apply(op, x) for x in layers]
     new = None
     for x in layers:
@@ -156,7 +157,8 @@ def prepare(catalog: Catalog, table: Table, snapshot: Snapshot | None, ops: list
     assigned = {c.lower() for op in ops if isinstance(op, Update) for c in op.assignments}
     added: list[DataFile] = []
     if new is not None:
-        check_nulls(new, schema, table.name)
+        if any(isinstance(op, Append) for op in ops) or any(not f.nullable and f.name.lower() in assigned for f in schema.fields):
+            check_nulls(new, schema, table.name)
         if key and (any(isinstance(op, Append) for op in ops) or assigned & {k.lower() for k in key}):
             others = catalog.read_files(table, kept).select(*key)
             check_primary_key(others.unionByName(new.select(*key)), key, table.name)

@@ -88,8 +88,17 @@ def route_appends(appends: DataFrame, live: DataFrame, key: list[str]) -> tuple[
 def update_by_key(view: DataFrame, changes: DataFrame, key: list[str], assigned: list[str]) -> DataFrame:
     """Read-modify-write: the view's rows of the changes' keys with the assigned columns replaced, as upserts.
 
-    Keys the view lacks change nothing; ``changes`` has one row a key.
+    Keys the view lacks change nothing. Of several changes of a key the newest
+    counts: the greatest ``_seq``, where there is one; without it they are an error.
     """
+    if SEQ in changes.columns:
+        changes = newest(changes, key)
+    else:
+        many = F.raise_error(F.lit("several changes of one key and no order of them"))
+        rest = [c for c in changes.columns if c not in key]
+        one = changes.groupBy(*key).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_x"))
+        checked = one.withColumn("_x", F.when(F.col("_n") > 1, many.cast(one.schema["_x"].dataType)).otherwise(F.col("_x")))
+        changes = checked.select(*key, *(F.col(f"_x.`{c}`").alias(c) for c in rest))
     new = changes.select(*key, *(F.col(c).alias(f"_new_{c}") for c in assigned))
     met = view.join(new, key)
     return met.select(*(F.col(f"_new_{c}").alias(c) if c in assigned else F.col(c) for c in view.columns)).withColumn(OP, F.lit(UPSERT))
