@@ -6,11 +6,11 @@ fold (64-bit numbers need at most 93 steps of Euclid's rule).
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.dialect import similar
+
 Col = Column | str
 
 
@@ -40,8 +40,7 @@ def trunc(x: Col, n: int = 0) -> Column:
 
 def int_div(a: Col, b: Col) -> Column:
     """Integer division, towards zero."""
-    x, y = _c(a), _c(b)
-    return ((x - x % y) / y).cast("bigint")
+    return F.call_function("div", _c(a), _c(b))
 
 
 def string_to_array(s: Col, delimiter: str) -> Column:
@@ -58,16 +57,7 @@ def strpos(s: Col, part: Col) -> Column:
 
 def similar_to(s: Col, pattern: str) -> Column:
     """SQL's SIMILAR TO: % and _ are wild, | * + ? ( ) and brackets as in regular expressions; the whole string must match."""
-    out, escaped = [], False
-    for ch in pattern:
-        if escaped:
-            out.append(re.escape(ch))
-            escaped = False
-        elif ch == "\\":
-            escaped = True
-        else:
-            out.append({"%": "(?s:.*)", "_": "(?s:.)", ".": "\\.", "^": "^", "$": "\\$"}.get(ch, ch))
-    return F.regexp_like(_c(s), F.lit("^(?:" + "".join(out) + ")$"))
+    return F.regexp_like(_c(s), F.lit(similar(pattern)))
 
 
 def regex_match(s: Col, pattern: str, fold: bool = False) -> Column:

@@ -434,3 +434,216 @@ def replayed_flush(spark, sf_dir):
     log.flush()
     flush_changes(log.catalog, "t", log.read(), log.high)
     return log.catalog.table("t")
+
+
+class _Interrupted(TailLog):
+    """A log to which another writer adds a batch while a flush has read the log, but not committed."""
+
+    then: Callable[[], object] | None = None
+
+    def read(self, since: int | None = None, until: int | None = None) -> DataFrame:
+        out = super().read(since, until)
+        if self.then:
+            then, self.then = self.then, None
+            then()
+        return out
+
+
+@query("tail_concurrent_flush", UPSERTS)
+def tail_concurrent_flush(spark, sf_dir):
+    """A batch written in the middle of a flush is in the next one."""
+    log, df = _Interrupted(_committed_table(spark, sf_dir), "t"), kv(spark, sf_dir)
+    log.write(df.where("k % 6 = 0").select("k", (-F.col("v")).alias("v")), "upsert")
+    log.then = lambda: log.write(df.where("k % 11 = 0").select("k"), "delete")
+    first = log.flush()
+    if first is None or first >= log.high or log.flush() != log.high:
+        raise AssertionError("the flushes did not divide the log")
+    return log.catalog.table("t")
+
+
+# --- SQL over a table and its tail ----------------------------------------------------------------------
+
+
+@query("sql_union_read", UPSERTS)
+def sql_union_read(spark, sf_dir):
+    return Engine(_logged(spark, sf_dir).catalog).query("SELECT k, v FROM t")
+
+
+@query("sql_update_buffered", f"SELECT k, CASE WHEN v < 0 THEN 0 ELSE v END AS v FROM ({UPSERTS}) x")
+def sql_update_buffered(spark, sf_dir):
+    """An UPDATE meets rows that were only acknowledged: the tail is flushed first."""
+    db = Engine(_logged(spark, sf_dir).catalog)
+    db.sql("UPDATE t SET v = 0 WHERE v < 0")
+    return db.query("SELECT k, v FROM t")
+
+
+@query("sql_begin_fence", f"SELECT k, v FROM ({UPSERTS}) x WHERE k % 2 = 0")
+def sql_begin_fence(spark, sf_dir):
+    """A transaction begins with all that was acknowledged; what comes later is not in it."""
+    log = _logged(spark, sf_dir)
+    db = Engine(log.catalog)
+    db.sql("BEGIN")
+    db.sql("DELETE FROM t WHERE k % 2 = 1")
+    seen = db.query("SELECT k, v FROM t")
+    db.sql("COMMIT")
+    return seen
+
+
+FIRST_KEYS = "WITH c AS (%s), f AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM c)" % COMMITTED
+
+
+@query("sql_keyed_writes", FIRST_KEYS + " SELECT c.k, CASE WHEN f.i = 1 THEN -1.5 ELSE c.v END AS v FROM c JOIN f ON c.k = f.k WHERE f.i <> 2 UNION ALL SELECT -7, 2.5")
+def sql_keyed_writes(spark, sf_dir):
+    """Changes by whole key, and inserts, go to the tail of a table that takes them there, and are read at once."""
+    c = _committed_table(spark, sf_dir)
+    c.set_properties("t", **{"tail.keyed": "true"})
+    db = Engine(c, buffered=True)
+    a, b = (r.k for r in c.table("t").orderBy("k").limit(2).collect())
+    tags = [db.sql(f"UPDATE t SET v = -1.5 WHERE k = {a}").tag, db.sql(f"DELETE FROM t WHERE k = {b}").tag, db.sql("UPDATE t SET v = 9 WHERE k = -99").tag, db.sql("INSERT INTO t VALUES (-7, 2.5)").tag]
+    if tags != ["UPDATE 1", "DELETE 1", "UPDATE 0", "INSERT 0 1"] or len(TailLog(c, "t").batches()) != 3:
+        raise AssertionError(tags)
+    return db.query("SELECT k, v FROM t")
+
+
+# --- statements and metadata that other queries don't reach ---------------------------------------------
+
+
+def _db(spark, sf_dir, key: bool = False) -> Engine:
+    return Engine(loaded(spark, sf_dir, key)[0])
+
+
+def _states(db: Engine, *statements: str) -> list[tuple[int, str]]:
+    """What each statement ends in: its tag or SQLSTATE."""
+    from tidemark.errors import EngineError
+
+    out = []
+    for i, s in enumerate(statements):
+        try:
+            out.append((i, db.sql(s).tag))
+        except EngineError as e:
+            out.append((i, e.sqlstate))
+    return out
+
+
+def _values(*states: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(states)) + ") AS t(i, state)"
+
+
+@query("update_all_rows", "SELECT o_orderkey AS k, o_orderstatus AS s, CAST(1 AS DOUBLE) AS v FROM orders")
+def update_all_rows(spark, sf_dir):
+    db = _db(spark, sf_dir)
+    db.sql("UPDATE orders SET v = 1")
+    return db.query("SELECT k, s, v FROM orders")
+
+
+@query("parameters", ORDERS + " WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
+def parameters(spark, sf_dir):
+    return _db(spark, sf_dir).query("SELECT k, s, v FROM orders WHERE s = $1 AND v > $2", "F", 100000)
+
+
+@query("dml_scope_rules", _values(*["0A000"] * 7))
+def dml_scope_rules(spark, sf_dir):
+    refused = ["UPDATE orders SET v = 1 FROM orders b", "UPDATE orders SET v = 1 RETURNING k", "UPDATE orders SET (v, s) = (1, 'x')", "UPDATE orders SET v = (SELECT 1)", "DELETE FROM orders USING orders b", "DELETE FROM orders ORDER BY k", "MERGE INTO orders USING orders b ON true"]
+    return spark.createDataFrame(_states(_db(spark, sf_dir), *refused), "i int, state string")
+
+
+@query("commit_retried", "SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice + 1 AS v FROM orders WHERE o_orderkey % 3 <> 0")
+def commit_retried(spark, sf_dir):
+    """An update whose commit meets another one first is computed again on the newer table."""
+    c, _ = loaded(spark, sf_dir)
+
+    def other() -> None:
+        c.commit_hook = None
+        c.delete("orders", "k % 3 = 0")
+
+    c.commit_hook = other
+    if c.update("orders", {"v": "v + 1"}).attempts != 2:
+        raise AssertionError("the commit met no other")
+    return c.table("orders")
+
+
+@query("txn_states", _values("BEGIN", "INSERT 0 1", "23505", "25P02", "ROLLBACK", "BEGIN", "0A000", "ROLLBACK", "BEGIN", "DELETE 1", "ROLLBACK"))
+def txn_states(spark, sf_dir):
+    """A statement that fails leaves COMMIT (as ROLLBACK) and ROLLBACK only; keys are checked within the transaction."""
+    db = _db(spark, sf_dir, key=True)
+    got = _states(db, "BEGIN", "INSERT INTO orders VALUES (-1, 'x', 1)", "INSERT INTO orders VALUES (-1, 'y', 2)", "SELECT * FROM orders", "COMMIT", "BEGIN", "CREATE TABLE z (a BIGINT)", "ROLLBACK", "BEGIN", f"DELETE FROM orders WHERE k = {db.catalog.table('orders').agg(F.min('k')).first()[0]}", "ROLLBACK")
+    if db.catalog.table("orders").where("k < 0").count():
+        raise AssertionError("a transaction that was rolled back left rows")
+    return spark.createDataFrame(got, "i int, state string")
+
+
+@query("branches", "SELECT * FROM (VALUES ('a', 1), ('b', 1), ('main', 2)) AS t(name, n)")
+def branches(spark, sf_dir):
+    """Branches made and dropped; each with the number of its snapshots."""
+    from tidemark.sources.meta import lineage
+
+    c, _ = loaded(spark, sf_dir)
+    branch.create(c, "orders", "gone")
+    for b in ("a", "b"):
+        branch.create(c, "orders", b)
+    branch.drop(c, "orders", "gone")
+    c.delete("orders", "k % 2 = 0")
+    table = c.load("orders")
+    return spark.createDataFrame([(name, len(lineage(table, head))) for name, head in sorted(table.refs.items())], "name string, n int")
+
+
+@query("read_only_classes", _values("SELECT", "0A000", "0A000", "0A000", "SELECT"))
+def read_only_classes(spark, sf_dir):
+    c, _ = loaded(spark, sf_dir)
+    db = Engine(c, read_only=True)
+    return spark.createDataFrame(_states(db, "SELECT * FROM orders", "DELETE FROM orders", "INSERT INTO orders VALUES (1, 'a', 1)", "DROP TABLE orders", "WITH x AS (SELECT 1 AS a) SELECT * FROM x"), "i int, state string")
+
+
+@query("named_query", ORDERS + " WHERE o_totalprice < 5000")
+def named_query(spark, sf_dir):
+    db = _db(spark, sf_dir)
+    db.define("cheap", "SELECT k, s, v FROM orders WHERE v < :most", most=int)
+    return db.named("cheap", most=5000)
+
+
+@query("catalog_self_join", "SELECT * FROM (VALUES ('orders', 'k'), ('orders', 's'), ('orders', 'v')) AS t(relname, attname)")
+def catalog_self_join(spark, sf_dir):
+    return _db(spark, sf_dir).query("SELECT c.relname, a.attname FROM pg_class c JOIN pg_namespace n ON c.relnamespace = n.oid JOIN pg_attribute a ON a.attrelid = c.oid WHERE n.nspname = 'public'")
+
+
+# --- the dialect ----------------------------------------------------------------------------------------
+
+
+def _tables(spark, sf_dir, *names: str) -> Engine:
+    """An engine over copies of fixture tables."""
+    c = lake(spark)
+    for n in names:
+        df = read(spark, sf_dir, n)
+        c.create(n, df.schema)
+        c.append(n, df)
+    return Engine(c)
+
+
+def dialect(name: str, table: str, text: str, duck: str | None = None) -> None:
+    """A query of the engine's SQL over one table, and DuckDB's text where it isn't the same."""
+
+    @query(name, duck or text)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _tables(spark, sf_dir, table).query(text)
+
+
+dialect("sql_int_div", "orders", "SELECT o_orderkey, o_orderkey / 7 AS a, (o_orderkey - 500) / 7 AS b, o_orderkey * 3 / 7 / 2 AS c, o_totalprice / 2 AS d, (o_orderkey + 9007199254740993) / 1 AS e FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS a, CASE WHEN o_orderkey >= 500 THEN (o_orderkey - 500) // 7 ELSE -((500 - o_orderkey) // 7) END AS b, o_orderkey * 3 // 7 // 2 AS c, o_totalprice / 2 AS d, (o_orderkey + 9007199254740993) // 1 AS e FROM orders")
+dialect("sql_null_order", "orders", "SELECT o_orderkey, row_number() OVER (ORDER BY NULLIF(o_orderstatus, 'F'), o_orderkey) AS up, row_number() OVER (ORDER BY NULLIF(o_orderstatus, 'F') DESC, o_orderkey) AS down FROM orders ORDER BY NULLIF(o_orderstatus, 'F'), o_orderkey LIMIT 500", "SELECT o_orderkey, row_number() OVER (ORDER BY NULLIF(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey) AS up, row_number() OVER (ORDER BY NULLIF(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey) AS down FROM orders ORDER BY NULLIF(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey LIMIT 500")
+dialect("sql_distinct_on", "orders", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_custkey, o_totalprice DESC, o_orderkey LIMIT 90")
+dialect("sql_qualify", "orders", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2 ORDER BY o_custkey, place")
+dialect("sql_regex_ops", "part", "SELECT p_partkey, p_name ~ '^[a-m]' AS a, p_name ~* '^[A-M]' AS b, p_name !~ 'e' AS c, p_name !~* 'E' AS d, p_brand SIMILAR TO 'Brand#(1|2)%' AS e FROM part", "SELECT p_partkey, regexp_matches(p_name, '^[a-m]') AS a, regexp_matches(p_name, '^[A-M]', 'i') AS b, NOT regexp_matches(p_name, 'e') AS c, NOT regexp_matches(p_name, 'E', 'i') AS d, regexp_full_match(p_brand, 'Brand#(1|2).*') AS e FROM part")
+dialect(
+    "sql_array_names",
+    "nation",
+    "SELECT n_nationkey, array_has(make_array(1, 2, n_regionkey), 3) AS a, array_has_all(make_array(1, 2, n_regionkey), make_array(1, 2)) AS b, array_has_any(make_array(n_regionkey), make_array(0, 4)) AS c, array_length(make_array(1, 2, 3), 1) AS d, array_to_string(array_slice(make_array(5, 6, 7, n_nationkey), 2, 4), '-') AS e, array_to_string(array_concat(make_array(1), make_array(n_nationkey)), ',') AS f, array_to_string(array_pop_back(make_array(1, n_nationkey)), ',') AS g, array_to_string(array_positions(make_array(2, n_regionkey, 2), 2), ',') AS h, array_to_string(array_replace_all(make_array(2, n_regionkey), 2, 9), ',') AS i, array_to_string(string_to_array('a.b.c', '.'), '|') AS j, array_element(make_array(4, n_nationkey), 2) AS k, array_to_string(array_append(array_prepend(0, make_array(n_nationkey)), 7), ',') AS l, array_to_string(array_remove(make_array(1, n_regionkey, 1), 1), ',') AS m, array_to_string(array_intersect(make_array(1, n_regionkey), make_array(n_regionkey)), ',') AS n, array_to_string(array_except(make_array(9, n_regionkey), make_array(n_regionkey)), ',') AS o FROM nation",
+    "SELECT n_nationkey, list_has([1, 2, n_regionkey], 3) AS a, list_has_all([1, 2, n_regionkey], [1, 2]) AS b, list_has_any([n_regionkey], [0, 4]) AS c, 3 AS d, concat_ws('-', 6, 7, n_nationkey) AS e, concat_ws(',', 1, n_nationkey) AS f, '1' AS g, CASE WHEN n_regionkey = 2 THEN '1,2,3' ELSE '1,3' END AS h, concat_ws(',', 9, CASE WHEN n_regionkey = 2 THEN 9 ELSE n_regionkey END) AS i, 'a|b|c' AS j, n_nationkey AS k, concat_ws(',', 0, n_nationkey, 7) AS l, CASE WHEN n_regionkey = 1 THEN '' ELSE CAST(n_regionkey AS VARCHAR) END AS m, CAST(n_regionkey AS VARCHAR) AS n, '9' AS o FROM nation",
+)
+dialect("sql_date_bin", "events", "SELECT date_bin(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01 00:00:00') AS slot, count(*) AS n FROM events GROUP BY 1", "SELECT time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS slot, count(*) AS n FROM events GROUP BY 1")
+dialect("sql_unnest", "nation", "SELECT n_nationkey, unnest(make_array(n_nationkey, n_regionkey)) AS v FROM nation", "SELECT n_nationkey, unnest([n_nationkey, n_regionkey]) AS v FROM nation")
+dialect("sql_series", "region", "SELECT r_regionkey, generate_series(1, 3) AS g FROM region", "SELECT r_regionkey, unnest([1, 2, 3]) AS g FROM region")
+dialect("sql_math_names", "part", "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l, trunc(p_size / 7.0, 1) AS t, iszero(p_size - 1) AS z, to_hex(p_partkey) AS h, factorial(p_size % 10) AS f, round(asinh(p_size), 9) AS s, round(acosh(p_size), 9) AS c, isnan(p_size) AS n FROM part", "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_partkey, p_size) AS l, trunc(p_size / 7.0 * 10) / 10 AS t, p_size = 1 AS z, lower(to_hex(p_partkey)) AS h, CAST(factorial(CAST(p_size % 10 AS INTEGER)) AS BIGINT) AS f, round(asinh(p_size), 9) AS s, round(acosh(p_size), 9) AS c, false AS n FROM part")
+dialect("sql_string_names", "part", "SELECT p_partkey, strpos(p_name, 'a') AS a, starts_with(p_brand, 'Brand#1') AS b, ends_with(p_brand, '1') AS c, btrim('  ' || p_brand || ' ') AS d, find_in_set('b', 'a,b,c') AS e, initcap(p_brand) AS f, substr_index('a.b.c', '.', 2) AS g, nvl(NULL, p_brand) AS h, nvl2(NULL, 'x', 'y') AS i, version() LIKE 'tidemark%' AS j, current_schema() AS k FROM part", "SELECT p_partkey, strpos(p_name, 'a') AS a, starts_with(p_brand, 'Brand#1') AS b, ends_with(p_brand, '1') AS c, p_brand AS d, 2 AS e, p_brand AS f, 'a.b' AS g, p_brand AS h, 'y' AS i, true AS j, 'public' AS k FROM part")
+dialect("sql_hash_names", "region", "SELECT r_regionkey, sha256(r_name) AS a, digest(r_name, 'md5') AS b, length(sha512(r_name)) AS c, length(sha224(r_name)) AS d, length(sha384(r_name)) AS e, arrow_typeof(arrow_cast(r_regionkey, 'Utf8')) AS f FROM region", "SELECT r_regionkey, sha256(r_name) AS a, md5(r_name) AS b, 128 AS c, 56 AS d, 96 AS e, 'string' AS f FROM region")
+dialect("sql_time_names", "orders", "SELECT o_orderkey, to_timestamp_seconds(o_orderkey) = to_timestamp_millis(o_orderkey * 1000) AS a, to_unixtime(to_timestamp_seconds(o_orderkey)) AS b, date_part('day', make_date(2020, 2, 29)) AS c, to_date('2020-03-01') AS d FROM orders", "SELECT o_orderkey, true AS a, o_orderkey AS b, 29 AS c, DATE '2020-03-01' AS d FROM orders")
+dialect("sql_any_all", "part", "SELECT p_partkey FROM part WHERE p_size > ALL (SELECT p_size FROM part WHERE p_size < 40) AND p_brand = ANY (SELECT p_brand FROM part WHERE p_partkey < 20)")
+dialect("sql_any_all_edges", "part", "SELECT p_partkey, p_size <= ANY (SELECT p_size FROM part WHERE p_partkey < 9) AS a, p_size <> ALL (SELECT p_size FROM part WHERE p_partkey < 9) AS b, p_size < ALL (SELECT p_size FROM part WHERE p_partkey < 0) AS c, p_size = ALL (SELECT p_size FROM part WHERE p_partkey = 7) AS d FROM part")
