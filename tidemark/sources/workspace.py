@@ -9,16 +9,24 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from tidemark.errors import EngineError
 from tidemark.sources.catalog import Catalog
 
 _own: dict[str, str] = {}
 
 
+def one_machine(spark: SparkSession) -> None:
+    """An error on a cluster: a temporary folder there is another one on each machine."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise EngineError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def scratch(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a temporary folder where it is unset (a single machine)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    one_machine(spark)
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tidemark-lake-")
