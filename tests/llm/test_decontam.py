@@ -53,15 +53,26 @@ def test_random_texts_match_brute_force(spark, make, folder):
     assert sorted(con.sql(decontam.OP2_SQL).fetchall(), key=str) == got
 
 
-def test_many_blocks_give_what_one_gives(spark, make, monkeypatch):
+def test_many_blocks_give_what_one_gives(spark, make):
+    """Five blocks and more go in several passes, each of no more automata than are held."""
     r = random.Random(5)
     pick = lambda n: " ".join(r.choice("abcd") for _ in range(n))
-    items = spark.createDataFrame([(i, pick(r.choice([2, 13, 15, 20]))) for i in range(12)], ITEMS)
-    docs = make(*(pick(80) for _ in range(20)))
+    items = spark.createDataFrame([(i, pick(r.choice([2, 13, 15, 20]))) for i in range(14)] + [(20, "a"), (21, "A."), (22, None)], ITEMS)
+    docs = make(*(pick(80) for _ in range(20)), None, "")
     one = sorted(decontam.report(docs, items).collect())
-    real = decontam.blocks_of
-    monkeypatch.setattr(decontam, "blocks_of", lambda s, b: real(s, b, 30))
-    assert sorted(decontam.report(docs, items).collect()) == one
+    dealt, names = decontam.blocks_of(items, 30)
+    sizes = {x.block: x.n for x in dealt.rdd.map(lambda x: (x.block, len(decontam.words_of(x.text)))).reduceByKey(int.__add__).toDF(["block", "n"]).collect()}
+    assert len(names) >= 5 and set(sizes) == set(names) and max(sizes.values()) <= 30
+    assert sorted(decontam.report(docs, items, block_words=30).collect()) == one
+    cleaned = sorted(decontam.remove_passages(docs, items).collect())
+    assert sorted(decontam.remove_passages(docs, items, block_words=30).collect()) == cleaned
+
+
+def test_a_block_is_built_once_while_it_is_held():
+    built = []
+    for name in ("a", "b", "a", "b"):
+        built.append(decontam.automaton(name, [("1", "x y")], 13))
+    assert built[0] is built[2] and built[1] is built[3] and decontam.HELD_BLOCKS == 2
 
 
 def test_passages_go_and_the_rest_stays(spark, make):

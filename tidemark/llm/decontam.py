@@ -5,20 +5,23 @@ on the driver and sent as flat arrays; the texts stream through it and each
 position carries the length of the longest match that ends there. Words that no
 item has break a match, so only runs of known words enter the automaton.
 
-Bound of what is sent: items are dealt into blocks of at most BLOCK_WORDS words
-(an item is never divided), each block has an automaton of at most two states a
-word, and a worker holds HELD_BLOCKS of them at a time. All texts meet all blocks.
-
-Null and empty texts have no words, hits or items. Items without words and
-items of null id are passed over; equal items of different ids all count.
-Repeated document rows give repeated rows.
+Bound of what is sent: the executors deal the items into blocks of at most
+BLOCK_WORDS words (an item is never divided), each block has an automaton of at
+most two states a word, and HELD_BLOCKS of them are sent and held at a time. All
+texts meet all blocks: with more blocks than that the texts go through in several
+passes, written in between, so that a task builds each automaton once.
+
+Null and empty texts have no words, hits or items; long ones take time in
+proportion to their words. Items without words and items of null id are passed
+over; equal items of different ids all count, and are noted once a document
+however often they occur. Repeated document rows give repeated rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import WorkerCache, table, texts_of
+from tidemark.llm._shared import WorkerCache, set_aside, shipped, stored, table, texts_of
 
 WINDOW = 13
 #: A document is contaminated from this share of hit words: one in so many.
@@ -77,6 +80,9 @@ class Automaton:
         for s in sorted(range(len(self.link)), key=self.length.__getitem__):
             self.above[s] = s if s in self.whole else self.above[self.link[s]] if s else -1
         self.shortest = min([window, *(len(s) for s in coded if s)])
+        #: Of whole items by state: their sizes from the longest, and all of them.
+        self.sizes = {s: sorted({size for size, _ in held}, reverse=True) for s, held in self.whole.items()}
+        self.names = {s: {k for _, k in held} for s, held in self.whole.items()}
 
     def _extend(self, last: int, w: int) -> int:
         """The state of the item so far and w; items share states, so that w may follow already."""
@@ -129,6 +135,7 @@ class Automaton:
         n = len(words)
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
+        noted: set[int] = set()
         if n < self.shortest:
             return spans, found
         coded = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, n)
@@ -144,13 +151,21 @@ class Automaton:
                 reach = 0
                 if matched >= window:
                     reach = window
-                    found.update(self.windows[self.at_window(state)])
+                    at = self.at_window(state)
+                    if ~at not in noted:
+                        noted.add(~at)
+                        found.update(self.windows[at])
                 up = self.above[state]
                 while up > 0:
-                    for size, k in self.whole[up]:
-                        if size <= matched:
-                            found.add(k)
-                            reach = max(reach, size)
+                    # of the state itself the match may be shorter than its items; further up all fit
+                    fits = next((x for x in self.sizes[up] if x <= matched), 0)
+                    reach = max(reach, fits)
+                    if fits == self.sizes[up][0]:
+                        if up not in noted:
+                            noted.add(up)
+                            found |= self.names[up]
+                    elif fits:
+                        found.update(k for size, k in self.whole[up] if size <= matched)
                     up = self.above[self.link[up]]
                 if reach:
                     start = i + 1 - reach
@@ -160,82 +175,118 @@ class Automaton:
         return spans, found
 
 
-def blocks_of(spark: SparkSession, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list:
-    """The items as broadcast blocks of at most ``block_words`` words, streamed from the executors."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    blocks, held, size = [], [], 0
-    for r in rows.toLocalIterator():
-        if not (words := words_of(r.t)):
-            continue
-        if held and size + len(words) > block_words:
-            blocks.append((uuid.uuid4().hex, spark.sparkContext.broadcast(held)))
-            held, size = [], 0
-        held.append((r.i, words))
-        size += len(words)
-    if held or not blocks:
-        blocks.append((uuid.uuid4().hex, spark.sparkContext.broadcast(held)))
-    return blocks
+def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[str]]:
+    """The items with the block that each belongs to, and the blocks' names."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null").distinct()
+    # a word has at least one byte, and a blank after it
+    most = rows.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size = "", 0
+        for b in batches:
+            blocks, keep = [], []
+            for t in b.column("text").to_pylist():
+                n = len(words_of(t))
+                keep.append(n > 0)
+                if not name or (size and size + n > block_words):
+                    name, size = uuid.uuid4().hex, 0
+                size += n
+                blocks.append(name)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks, pa.string())], names=["item", "text", "block"]).filter(pa.array(keep))
+
+    dealt = stored(rows.repartition(max(1, int(most // block_words) + 1)).transform(shipped).mapInArrow(deal, "item string, text string, block string"), "items")
+    return dealt, sorted(r.block for r in dealt.select("block").distinct().collect())
 
 
 _built = WorkerCache()
 
 
-def automaton(block: tuple, window: int) -> Automaton:
-    key = (block[0], window)
+def automaton(name: str, items: list, window: int) -> Automaton:
+    key = (name, window)
     _built.mine()
     if key not in _built:
         while len(_built) >= HELD_BLOCKS:
             # the one that was built first
             del _built[next(iter(_built))]
-        _built[key] = Automaton(block[1].value, window)
+        _built[key] = Automaton([(i, words_of(t)) for i, t in items], window)
     return _built[key]
 
 
-def matched(blocks: list, window: int, documents: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
-    """For each document its spans over all blocks, joined, and the ids of the items found."""
-    out: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in documents]
-    for block in blocks:
-        a = automaton(block, window)
-        for k, words in enumerate(documents):
-            spans, found = a.match(words)
-            if spans:
-                joined: list[tuple[int, int]] = []
-                for s, e in sorted(out[k][0] + spans):
-                    if joined and s <= joined[-1][1]:
-                        joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
-                    else:
-                        joined.append((s, e))
-                out[k] = (joined, out[k][1] | {a.items[i] for i in found})
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that meet or touch as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+Finish = Callable[[pa.RecordBatch, list[list[bytes]], list[list[tuple[int, int]]], list[set[str]]], pa.RecordBatch]
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, window: int, finish: Finish, schema: object, block_words: int = BLOCK_WORDS, held: int = HELD_BLOCKS) -> DataFrame:
+    """What ``finish`` makes of batches of ``docs``, their texts' words, hit spans, and items found.
+
+    In each pass the texts meet ``held`` blocks; what was found so far goes with
+    them as two more columns.
+    """
+    items, names = blocks_of(benchmark, block_words)
+    own, fields = docs.columns, docs.schema.fields
+
+    def a_pass(df: DataFrame, blocks: list[str], last: bool) -> DataFrame:
+        rows = items.where(F.col("block").isin(blocks)).toArrow().to_pylist()
+        sent = df.sparkSession.sparkContext.broadcast({n: [(r["item"], r["text"]) for r in rows if r["block"] == n] for n in blocks})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    b = whole.slice(at, 2000)
+                    documents = [words_of(t) for t in texts_of(b)]
+                    if "_spans" in b.schema.names:
+                        spans = [list(zip(x[::2], x[1::2])) for x in b.column("_spans").to_pylist()]
+                        found = [set(x) for x in b.column("_items").to_pylist()]
+                    else:
+                        spans, found = [[] for _ in documents], [set() for _ in documents]
+                    for n in blocks:
+                        a = automaton(n, sent.value[n], window)
+                        for k, words in enumerate(documents):
+                            new, which = a.match(words)
+                            if new:
+                                spans[k] = joined(spans[k] + new) if spans[k] else new
+                                found[k] |= {a.items[i] for i in which}
+                    if last:
+                        yield finish(b.select(own), documents, spans, found)
+                    else:
+                        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array([[v for span in x for v in span] for x in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=[*own, "_spans", "_items"])
+
+        middle = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_spans array<bigint>", "_items array<string>"])
+        return df.transform(shipped).mapInArrow(run, schema if last else middle)
+
+    groups = [names[at : at + held] for at in range(0, len(names), held)] or [[]]
+    for group in groups[:-1]:
+        docs = stored(a_pass(docs, group, False), "searched")
+    return a_pass(docs, groups[-1], True)
 
 
 REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document the counts of words, of hit words and of items found."""
-    blocks = blocks_of(docs.sparkSession, benchmark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches):
-            documents = [words_of(t) for t in texts_of(b)]
-            n = [len(w) for w in documents]
-            found = matched(blocks, window, documents)
-            hit = [sum(e - s for s, e in spans) for spans, _ in found]
-            digests = [hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() for _, items in found]
-            bad = [h > 0 and coverage * h >= w for h, w in zip(hit, n)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for _, i in found], pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+    def finish(b, documents, spans, found):
+        n = [len(w) for w in documents]
+        hit = [sum(e - s for s, e in x) for x in spans]
+        digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
+        bad = [h > 0 and coverage * h >= w for h, w in zip(hit, n)]
+        return pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, REPORT)
+    return searched(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, finish, REPORT, block_words)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -252,29 +303,26 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5) -> DataFrame:
+def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without the passages that windows cover.
 
     Documents of which at least ``drop_share`` of the words are hit go as a whole.
     ``n_chars`` follows the text; all other columns pass through.
     """
-    blocks = blocks_of(docs.sparkSession, benchmark)
+    docs, back = set_aside(docs, {"_spans", "_items"})
     names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches):
-            texts = b.column("text").to_pylist()
-            documents = [words_of(t or "") for t in texts]
-            found = matched(blocks, window, documents)
-            keep = [not s or sum(e - a for a, e in s) < drop_share * len(w) for (s, _), w in zip(found, documents)]
-            cut = [None if t is None else cut_spans(t, s) for t, (s, _) in zip(texts, found)]
-            columns = [pa.array(cut, pa.string()) if n == "text" else b.column(n) for n in names]
-            if "n_chars" in names:
-                old = b.column("n_chars").to_pylist()
-                columns[names.index("n_chars")] = pa.array([len(c) if s and c is not None else o for c, (s, _), o in zip(cut, found, old)], b.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def finish(b, documents, spans, found):
+        texts = b.column("text").to_pylist()
+        keep = [not s or sum(e - a for a, e in s) < drop_share * len(w) for s, w in zip(spans, documents)]
+        cut = [None if t is None else cut_spans(t, s) for t, s in zip(texts, spans)]
+        columns = [pa.array(cut, pa.string()) if n == "text" else b.column(n) for n in names]
+        if "n_chars" in names:
+            old = b.column("n_chars").to_pylist()
+            columns[names.index("n_chars")] = pa.array([len(c) if s and c is not None else o for c, s, o in zip(cut, spans, old)], b.schema.field("n_chars").type)
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    return searched(docs, benchmark, window, finish, docs.schema, block_words).withColumnsRenamed(back)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
