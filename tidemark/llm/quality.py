@@ -4,16 +4,21 @@ One classifier sees the words of a text (hashed words and word endings), the
 other its page's metadata (source, language, length, and layout: lines, letter
 cases, kinds of characters). Over some rounds each labels the unlabelled
 documents that it is most sure of, for the other to learn from. Both are
-calibrated on labelled documents held back from fitting, and the mean of their
-log odds is the score of every document.
+calibrated on labelled documents, each scored by views that learned from other
+ones, and the mean of their log odds is the score of every document.
 
 Fitting takes a bounded sample, by a hash of the id: about FIT_LABELLED labelled
-documents and FIT_POOL others; all else covers all documents and whole texts.
-The threshold is that which rejects at most REJECT_GOOD of the good documents
-held back. Null texts and texts without words score 0 and are rejected. A label
+documents, and FIT_POOL of those without a label, which the views label for each
+other (README tells what a larger pool gains). No labelled document is in the
+pool. All else covers all documents and whole texts.
+The threshold is that which rejects at most REJECT_GOOD of the good documents,
+so scored. Null texts and texts without words score 0 and are rejected. A label
 that is null is none; of several labels of a document the least counts. With no
 labels of both kinds there is nothing to learn: every text with words scores 0.5
-and is kept. Repeated rows give repeated rows.
+and is kept. Repeated rows give repeated rows; equal texts with equal metadata have
+equal scores, and a score at the threshold is kept. Several texts of one doc_id
+share its label, and are learned from in the order of their features. Long texts
+take time in proportion; nothing of them is kept but counts.
 """
 
 from __future__ import annotations
@@ -26,14 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import WorkerCache, set_aside, table, texts_of
+from tidemark.llm._shared import WorkerCache, set_aside, shipped, table, texts_of
 from tidemark.llm.counts import words_by_row
 
 #: Bounds of the fitting sample, hashed content features, rounds, and the share of the pool that a view labels in each.
 FIT_LABELLED, FIT_POOL, CONTENT, ROUNDS, SHARE = 4000, 4000, 1024, 4, 0.1
+#: Parts of the labelled documents, each scored for the calibration by views that learned from the others.
+FOLDS = 4
 REJECT_GOOD = 0.002
-SOURCES, LANGS = 32, 8
-CACHE_WORDS = 200_000
+SOURCES, LANGS = 256, 64
+#: Words that a worker remembers; longer ones than so many characters are worked out each time.
+CACHE_WORDS, CACHE_LETTERS = 200_000, 64
 
 #: Class of each byte: upper, lower, digit, blank, line end, ordinary punctuation, other sign, part of another character.
 _CLASS = np.array([7 if b >= 0x80 else 0 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 2 if 48 <= b <= 57 else 4 if b == 10 else 3 if b in b" \t\r\v\f" else 5 if b in b".,;:'\"-()?" else 6 for b in range(256)], np.uint8)
@@ -85,7 +93,8 @@ class _Features:
         coded = words.dictionary_encode()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        each = np.array([self.known.get(w) or self.known.setdefault(w, self._of(w)) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 3)
+        own, of = self.known, self._of
+        each = np.array([own.get(w) or (own.setdefault(w, of(w)) if len(w) <= CACHE_LETTERS else of(w)) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 3)
         codes = coded.indices.to_numpy().astype(np.int64)
         total = np.bincount(row, minlength=n)
         flat = np.concatenate([row * CONTENT + each[codes, 0], row * CONTENT + each[codes, 1]])
@@ -138,45 +147,57 @@ def _platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(c)
 
 
+def co_trained(x: list[np.ndarray], y: np.ndarray, fitted: np.ndarray) -> list[Logistic]:
+    """Both views after all rounds. ``x``: their values; ``y``: 0, 1 or -1 where there is no label; ``fitted``: the labelled rows to learn from."""
+    pool = np.flatnonzero(y < 0)
+    prior = y[fitted].mean()
+    given: list[dict[int, int]] = [{}, {}]
+    views = [Logistic(), Logistic()]
+    for k in range(ROUNDS + 1):
+        logits = []
+        for v in (0, 1):
+            own = np.array(sorted(given[v]), np.int64)
+            rows = np.concatenate([fitted, own])
+            labels = np.concatenate([y[fitted], [given[v][i] for i in own]]).astype(np.float32)
+            weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3)) * np.concatenate([np.ones(len(fitted)), np.full(len(own), 0.5)])
+            views[v].fit(x[v][rows], labels, weight)
+            logits.append(views[v].logits(x[v][pool]) if len(pool) else np.empty(0))
+        if k == ROUNDS or not len(pool):
+            break
+        for v in (0, 1):
+            order = np.argsort(logits[v], kind="stable")
+            most = max(2, int(SHARE * len(pool)))
+            bad = max(1, round(most * (1 - prior)))
+            for i in order[:bad]:
+                if logits[v][i] < -1:
+                    given[1 - v][int(pool[i])] = 0
+            for i in order[::-1][: most - bad]:
+                if logits[v][i] > 1:
+                    given[1 - v][int(pool[i])] = 1
+    return views
+
+
 class Model:
     def __init__(self) -> None:
         self.content: Logistic | None = None
 
-    def co_train(self, x: list[np.ndarray], y: np.ndarray, back: np.ndarray) -> Model:
-        """``x``: both views; ``y``: 0, 1 or -1 where there is no label; ``back``: labelled rows held back."""
-        fitted, pool = np.flatnonzero((y >= 0) & ~back), np.flatnonzero(y < 0)
-        prior = y[fitted].mean()
-        given: list[dict[int, int]] = [{}, {}]
-        views = [Logistic(), Logistic()]
-        for k in range(ROUNDS + 1):
-            logits = []
-            for v in (0, 1):
-                own = np.array(sorted(given[v]), np.int64)
-                rows = np.concatenate([fitted, own])
-                labels = np.concatenate([y[fitted], [given[v][i] for i in own]]).astype(np.float32)
-                weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3)) * np.concatenate([np.ones(len(fitted)), np.full(len(own), 0.5)])
-                views[v].fit(x[v][rows], labels, weight)
-                logits.append(views[v].logits(x[v][pool]) if len(pool) else np.empty(0))
-            if k == ROUNDS or not len(pool):
-                break
-            for v in (0, 1):
-                order = np.argsort(logits[v], kind="stable")
-                most = max(2, int(SHARE * len(pool)))
-                bad = max(1, round(most * (1 - prior)))
-                for i in order[:bad]:
-                    if logits[v][i] < -1:
-                        given[1 - v][int(pool[i])] = 0
-                for i in order[::-1][: most - bad]:
-                    if logits[v][i] > 1:
-                        given[1 - v][int(pool[i])] = 1
-        self.content, self.meta = views
-        held = np.flatnonzero(back)
-        if not len(held) or len(set(y[held])) < 2:
-            held = fitted
-        logits = [views[v].logits(x[v][held]) for v in (0, 1)]
-        self.shape = [_platt(s, y[held]) for s in logits]
-        combined = np.sort(self.combine(*logits)[2][y[held] == 1])
-        least = float(combined[int(REJECT_GOOD * len(combined))])
+    def co_train(self, x: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Model:
+        """Views of all labelled rows, calibrated on what views of the other folds make of each fold."""
+        labelled = np.flatnonzero(y >= 0)
+        self.content, self.meta = co_trained(x, y, labelled)
+        held, logits = [], [[], []]
+        for f in range(FOLDS):
+            own, others = labelled[fold[labelled] == f], labelled[fold[labelled] != f]
+            if len(own) and len(set(y[others])) == 2:
+                held.append(own)
+                for v, view in enumerate(co_trained(x, y, others)):
+                    logits[v].append(view.logits(x[v][own]))
+        # with no label to spare, on what was learned from
+        rows = np.concatenate(held) if held else labelled
+        both = [np.concatenate(s) for s in logits] if held else [self.content.logits(x[0][rows]), self.meta.logits(x[1][rows])]
+        self.shape = [_platt(s, y[rows]) for s in both]
+        combined = np.sort(self.combine(*both)[2][y[rows] == 1])
+        least = float(combined[int(REJECT_GOOD * len(combined))]) if len(combined) else 0.5
         # where even the poorest good documents score high, half of that margin is left to those not seen
         self.threshold = min(least, (0.5 + least) / 2)
         return self
@@ -202,11 +223,13 @@ def _share(column: str, salt: int, share: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_labelled: int = FIT_LABELLED, fit_pool: int = FIT_POOL) -> Model:
-    docs = docs.select("doc_id", "text", "source", "lang")
-    known = labels.where("doc_id is not null and quality is not null")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
+    known = labels.where("doc_id is not null and quality is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     n, total = known.count(), docs.count()
     sample = known.where(_share("doc_id", 11, fit_labelled / max(n, 1))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    pool = docs.where(_share("doc_id", 13, fit_pool / max(total, 1))).withColumn("y", F.lit(-1))
+    pooled = _share("doc_id", 13, fit_pool / max(total, 1))
+    # what has a label is never in the pool: neither is its label guessed, nor is what is held back learned from
+    pool = docs.where(pooled).join(known.where(pooled).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns).withColumn("y", F.lit(-1))
     # the sample's size is bounded by a parameter
     rows = docs.join(F.broadcast(sample), "doc_id").select(*pool.columns).union(pool)
 
@@ -223,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_labelled: int = FIT_LABELLED, fi
                     names=["doc_id", "y", "features", "shares", "meta"],
                 )
 
-    got = rows.select("doc_id", "text", "source", "lang", "y").mapInArrow(views, "doc_id bigint, y int, features binary, shares binary, meta binary").orderBy("doc_id", "y").toArrow()
+    got = rows.select("doc_id", "text", "source", "lang", "y").transform(shipped).mapInArrow(views, "doc_id bigint, y int, features binary, shares binary, meta binary").orderBy("doc_id", "y", "features", "shares", "meta").toArrow()
     y = got["y"].to_numpy()
     if not {0, 1} <= set(y.tolist()):
         return Model()
@@ -231,10 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_labelled: int = FIT_LABELLED, fi
     for i, (f, s) in enumerate(zip(got["features"].to_pylist(), got["shares"].to_pylist())):
         content[i, np.frombuffer(f, np.uint16)] = np.frombuffer(s, np.float32)
     meta = np.stack([np.frombuffer(m, np.float32) for m in got["meta"].to_pylist()])
-    back = np.array([zlib.crc32(b"back%d" % (i or 0)) % 4 == 0 for i in got["doc_id"].to_pylist()]) & (y >= 0)
-    if not {0, 1} <= set(y[(y >= 0) & ~back].tolist()):
-        back[:] = False
-    return Model().co_train([content, meta], y, back)
+    fold = np.array([zlib.crc32(b"back%d" % (i or 0)) % FOLDS for i in got["doc_id"].to_pylist()])
+    return Model().co_train([content, meta], y, fold)
 
 
 SCORED = "p_content double, p_meta double, score double, keep boolean"
@@ -268,7 +289,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                     keep = some & (p[2] >= own.threshold)
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(v, pa.float64()) for v in p), pa.array(keep)], names=[*names, "p_content", "p_meta", "score", "keep"])
 
-    return docs.mapInArrow(run, f"{fields}, {SCORED}")
+    return docs.transform(shipped).mapInArrow(run, f"{fields}, {SCORED}")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
