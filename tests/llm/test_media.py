@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 from tidemark.llm import media
@@ -40,3 +41,16 @@ def test_real_pages_and_empty_table(spark, make, folder):
     rows = media.sequences(pages, "page_id").collect()
     assert len(rows) == pages.count() and all([p.pos for p in r.parts] == list(range(len(r.parts))) for r in rows)
     assert media.op6_media(spark, folder(documents=make("x").limit(0))).count() == 0
+
+
+def test_captions_before_their_media_and_unclosed_pages():
+    got = lambda page: [(p["kind"], p["text"] or p["digest"], p["caption"]) for p in media.parse(page)]
+    assert got('<figure><figcaption>first</figcaption><img src="sha256:aa"></figure> after') == [("media", "aa", "first"), ("text", "after", None)]
+    assert got("<figure><figcaption>alone</figcaption></figure>x") == [("text", "alone", None), ("text", "x", None)]
+    assert got("<figcaption>loose</figcaption><img src='sha256:bb' alt=q>") == [("text", "loose", None), ("media", "bb", "q")]
+    assert got("<figure><img src='sha256:c'><img src='sha256:d'><figcaption>both</figcaption></figure>") == [("media", "c", "both"), ("media", "d", "both")]
+    assert got("a <script>b <p>c") == [("text", "a", None), ("text", "b", None), ("text", "c", None)]
+    for bad in ("<!-- ", "<script>", "<style x", '<a "', "<a '", "<", "<figure><figcaption>"):
+        began = time.monotonic()
+        media.parse(bad * 40_000)
+        assert time.monotonic() - began < 5, bad
