@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -55,3 +58,52 @@ def test_every_language_is_learned(spark):
     assert set(got.model.languages) == {lang for _, _, lang in rows}
     pred = {r.doc_id: r.lang_pred for r in langid.predict(docs, got).collect()}
     assert pred == {i: lang for i, _, lang in rows}
+
+
+def plain_kneser_ney(samples, order, discount):
+    """Interpolated Kneser-Ney with dictionaries: a function of the characters before one, and it, for each language."""
+    alphabet = {c for words in samples.values() for w in words for c in f"{w} "}
+    floor = 1 / max(2, len(alphabet) + 1)
+    tables = {}
+    for lang, words in samples.items():
+        raw, begins = [Counter() for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
+        before = [{} for _ in range(order + 1)]
+        for w, times in words.items():
+            s = f" {w} "
+            for end in range(1, len(s)):
+                for n in range(1, min(order, end + 1) + 1):
+                    g = s[end - n + 1 : end + 1]
+                    raw[n][g] += times
+                    if end - n >= 0:
+                        before[n].setdefault(g, set()).add(s[end - n])
+        counts = [{}] + [{g: raw[n][g] if n == order else len(before[n][g]) if g in before[n] else min(raw[n][g], 1) for g in raw[n]} for n in range(1, order + 1)]
+        tables[lang] = counts
+
+    def p(lang, context, c):
+        out = floor
+        for n in range(1, order + 1):
+            if n - 1 > len(context):
+                break
+            left = context[len(context) - n + 1 :]
+            own = {g: k for g, k in tables[lang][n].items() if g[:-1] == left}
+            total = sum(own.values())
+            if total:
+                out = max(own.get(left + c, 0) - discount, 0) / total + discount * len(own) / total * out
+        return out
+
+    return p
+
+
+def test_probabilities_match_a_plain_model():
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randrange(1, 7)))
+    samples = {lang: {word(): r.randrange(1, 9) for _ in range(30)} for lang in ("x", "y", "z")}
+    m = langid.KneserNey(samples)
+    p = plain_kneser_ney(samples, langid.ORDER, langid.DISCOUNT)
+    words = [*samples["x"], "zzz", "q", *(word() for _ in range(20))]
+    got = m.score(words)
+    for i, w in enumerate(words):
+        s = f" {w} "
+        for k, lang in enumerate(m.languages):
+            want = sum(math.log(p(lang, s[max(0, end - langid.ORDER + 1) : end], s[end])) for end in range(1, len(s)))
+            assert abs(got[i, k] - want) < 1e-3 * max(1, abs(want)), (w, lang)

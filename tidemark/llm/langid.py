@@ -10,8 +10,9 @@ calibrated on held-back training documents, and texts under the calibrated
 threshold are marked as rejected.
 
 Fitting takes a bounded sample: documents of a language with hashes under
-FIT_DOCS over its count, so about FIT_DOCS of each; counts of languages cover
-all rows, and all languages are learned. Everything else covers all documents and whole texts. Null texts and
+FIT_DOCS over its count and FIT_CHARS over its characters, so about FIT_DOCS of
+each, and no more than FIT_CHARS characters but for one long document; counts of
+languages cover all rows, and all languages are learned. Everything else covers all documents and whole texts. Null texts and
 texts without a letter are ``und`` with score 0; without training documents all
 are. Ties take the language first in order. Repeated rows give repeated rows.
 """
@@ -26,18 +27,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import WorkerCache, crc_of_id, table
+from tidemark.llm._shared import WorkerCache, crc_of_id, shipped, table
 from tidemark.llm.counts import words_by_row
 
 ORDER = 4
 #: Documents of a language that its model is fitted on, about.
 FIT_DOCS = 400
+#: Characters of a language that its model is fitted on, about.
+FIT_CHARS = 2_000_000
 DISCOUNT = 0.75
 #: Share of right held-back documents that a rejection may cost.
 REJECT_RIGHT = 0.005
 CACHE_WORDS = 300_000
 #: Values of words by languages that are kept, and that are scored at once.
 CACHE_CELLS, SCORE_CELLS = 60_000_000, 4_000_000
+#: Characters of remembered words (in scripts without blanks a word may be a sentence).
+CACHE_CHARS = 4_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,7 +149,7 @@ class _Scorer:
     """Scores rows of words, each distinct word once while it is remembered."""
 
     def __init__(self, model: KneserNey) -> None:
-        self.model, self.known, self.values = model, {}, np.zeros((0, len(model.languages)))
+        self.model, self.known, self.values, self.chars = model, {}, np.zeros((0, len(model.languages))), 0
 
     def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text and language the log probability; per text the number of characters."""
@@ -156,11 +161,12 @@ class _Scorer:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         languages = len(self.model.languages)
-        if len(self.known) > min(CACHE_WORDS, CACHE_CELLS // languages):
-            self.known, self.values = {}, self.values[:0]
+        if len(self.known) > min(CACHE_WORDS, CACHE_CELLS // languages) or self.chars > CACHE_CHARS:
+            self.known, self.values, self.chars = {}, self.values[:0], 0
         new = [w for w in distinct if w not in self.known]
         if new:
             self.known |= {w: len(self.values) + i for i, w in enumerate(new)}
+            self.chars += sum(map(len, new))
             step = max(1, min(20_000, SCORE_CELLS // languages))
             self.values = np.concatenate([self.values, *(self.model.score(new[at : at + step]) for at in range(0, len(new), step))])
         each = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
@@ -192,10 +198,10 @@ class Identifier:
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Identifier:
     """Models of the languages in ``docs`` (doc_id, text, lang), which are all there is to learn from."""
     labelled = docs.where("lang is not null and text is not null")
-    counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: (r["n"], r["chars"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).collect()}
     if not counts:
         return Identifier(None)
-    share = F.try_element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, fit_docs / n)))), F.col("lang"))
+    share = F.try_element_at(F.create_map(*(F.lit(x) for k, (n, chars) in counts.items() for x in (k, min(1.0, fit_docs / n, FIT_CHARS / max(1, chars))))), F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(place < share).withColumn("back", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0)
 
@@ -209,7 +215,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Identifier:
     samples: dict[str, dict[str, int]] = {}
 
     def learn(rows: DataFrame) -> None:
-        fitted = rows.select("lang", "text").mapInArrow(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+        fitted = rows.select("lang", "text").transform(shipped).mapInArrow(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
         for lang, word, n in zip(*(fitted[c].to_pylist() for c in ("lang", "word", "n"))):
             samples.setdefault(lang, {})[word] = n
 
@@ -279,7 +285,7 @@ def predict(docs: DataFrame, identifier: Identifier) -> DataFrame:
                 score = np.where(lettered, np.clip(sure, 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()), pa.array(score), pa.array(score < own.threshold), pa.array(np.where(lettered, entropy, 0.0))], names=["doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out")).mapInArrow(run, PREDICTED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out")).transform(shipped).mapInArrow(run, PREDICTED)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
