@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import WorkerCache, table, texts_of
+from tidemark.llm._shared import WorkerCache, shipped, table, texts_of
 
 #: The pre-tokeniser's pattern of the public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,7 +176,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
             ids = pa.array([bpe.encode(t) for t in texts_of(b, text)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [ids], names=[*names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(shipped).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -191,7 +191,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
             texts = pa.array([bpe.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [texts], names=[*names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(shipped).mapInArrow(run, schema)
 
 
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -218,7 +218,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGESTS)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(shipped).mapInArrow(run, DIGESTS)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import WorkerCache, table
+from tidemark.llm._shared import WorkerCache, shipped, table
 
 #: Words remembered by a worker; beyond it, it starts anew.
 CACHE_WORDS = 300_000
@@ -138,7 +138,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
                 tokens = np.bincount(rows, weights=each, minlength=b.num_rows).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(tokens), pa.array(most)], names=["doc_id", "n_words", "n_tokens", "longest_word"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COUNTS)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(shipped).mapInArrow(run, COUNTS)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

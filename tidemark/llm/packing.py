@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import WorkerCache, table
+from tidemark.llm._shared import WorkerCache, shipped, table
 from tidemark.llm.bpe import ASCII_PATTERN, CACHE_WORDS, PATTERN
 
 ROW_TOKENS = 2048
@@ -183,7 +183,7 @@ def pack(docs: DataFrame, row_tokens: int = ROW_TOKENS, block_tokens: int = BLOC
         if pieces:
             yield _packed(pieces, row_tokens, f"{part}-{block}")
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PACKED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(shipped).mapInArrow(run, PACKED)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
