@@ -174,3 +174,54 @@ def test_system_tables_and_guards(engine, tmp_path):
         system.external(engine.spark, "csv", "x")
     assert system.tails(engine.catalog).count() == 0
     assert engine.metrics.counts["select"] >= 2
+
+
+def test_results_are_kept_while_the_table_is_unchanged(engine):
+    run = engine.sql
+    run("CREATE TABLE t (a BIGINT, b DOUBLE)")
+    run("INSERT INTO t VALUES (3, 1), (1, 2), (2, 3)")
+    db = Engine(engine.catalog, result_rows=100)
+    text = "SELECT a FROM t ORDER BY a LIMIT 2"
+    first = db.query(text)
+    assert [r.a for r in first.collect()] == [1, 2] and first.is_cached and db.results.used == 2
+    assert db.query(text) is first
+    run("DELETE FROM t WHERE a = 1")
+    assert [r.a for r in db.query(text).collect()] == [2, 3]
+
+
+def test_sql_sees_the_tail_and_flushes_before_changes(engine):
+    from tidemark.streaming.tail import TailLog
+
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, v TEXT)")
+    engine.sql("INSERT INTO t VALUES (1, 'a'), (2, 'b')")
+    log, spark = TailLog(engine.catalog, "t"), engine.spark
+    log.write(spark.createDataFrame([(3, "c")], "id bigint, v string"))
+    log.write(spark.createDataFrame([(2, "B")], "id bigint, v string"), "upsert")
+    assert rows(engine.query("SELECT * FROM t")) == [(1, "a"), (2, "B"), (3, "c")]
+    assert engine.plans.hits == 0 and log.watermark() is None
+    assert engine.sql("UPDATE t SET v = 'C' WHERE id = 3").tag == "UPDATE 1"
+    assert log.watermark() == 2 and rows(engine.query("SELECT * FROM t")) == [(1, "a"), (2, "B"), (3, "C")]
+    assert log.flush(0) is None and log.flush() is None
+    log.write(spark.createDataFrame([(1,)], "id bigint"), "delete")
+    engine.sql("BEGIN")
+    assert log.watermark() == 3
+    log.write(spark.createDataFrame([(9, "z")], "id bigint, v string"))
+    assert rows(engine.query("SELECT id FROM t")) == [(2,), (3,)]
+    engine.sql("COMMIT")
+    assert rows(engine.query("SELECT id FROM t")) == [(2,), (3,), (9,)]
+
+
+def test_dialect_texts():
+    from tidemark.plans import dialect
+
+    none = lambda source, expressions: None
+    whole = lambda source, expressions: ["int"] * len(expressions)
+    assert dialect.rewritten("SELECT a / b * 2 FROM t WHERE c = 1", whole) == "SELECT (a DIV b) * 2 FROM t WHERE c = 1"
+    assert dialect.rewritten("SELECT x + a * b / (c - 1) FROM t", whole) == "SELECT x + (a * b DIV (c - 1)) FROM t"
+    assert dialect.rewritten("SELECT a / b FROM t", none) == "SELECT a / b FROM t"
+    assert dialect.rewritten("SELECT '/ ~ order by' FROM t", whole) == "SELECT '/ ~ order by' FROM t"
+    assert dialect.null_order("SELECT a FROM t ORDER BY a DESC, b NULLS FIRST, c LIMIT 1") == "SELECT a FROM t ORDER BY a DESC NULLS FIRST, b NULLS FIRST, c NULLS LAST LIMIT 1"
+    assert dialect.operators("SELECT ~a FROM t WHERE b !~* 'x'") == "SELECT ~a FROM t WHERE b NOT RLIKE '(?i)x'"
+    assert dialect.functions("SELECT array_has(make_array(1, 2), strpos(a, 'b'))") == "SELECT array_contains(array(1, 2), instr(a, 'b'))"
+    with pytest.raises(EngineError):
+        dialect.functions("SELECT to_hex(1, 2)")

@@ -114,3 +114,13 @@ def test_tail_as_a_source_and_a_stream(spark, log, tmp_path):
     files = spark.readStream.schema(log.schema()).parquet(str(tmp_path / "files"))
     tails.follow(files, log.catalog, "t", str(tmp_path / "cp2")).awaitTermination()
     assert log.catalog.table("t").count() == 4 and log.watermark() == 7
+
+
+def test_the_newest_of_several_changes_of_a_key_counts(spark):
+    import pytest
+
+    view = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, v string")
+    twice = spark.createDataFrame([(1, "x", 5), (1, "y", 7), (3, "z", 9)], "id bigint, v string, _seq bigint")
+    assert [(r.id, r.v) for r in overlay.update_by_key(view, twice, ["id"], ["v"]).collect()] == [(1, "y")]
+    with pytest.raises(Exception, match="several changes"):
+        overlay.update_by_key(view, twice.drop("_seq"), ["id"], ["v"]).collect()

@@ -68,15 +68,16 @@ def layered(committed: DataFrame, layers: list[DataFrame], key: list[str]) -> Da
     A layer's keyed changes hide its own earlier appends and everything older of
     that key; one ranking over all layers finds the newest keyed change of a key.
     """
-    rows = committed.withColumns({SEQ: F.lit(-1).cast("bigint"), OP: F.lit(APPEND), "_layer": F.lit(-1)})
-    for i, layer in enumerate(layers):
-        rows = rows.unionByName(layer.select(*committed.columns, SEQ, OP).withColumn("_layer", F.lit(i)))
+    if not layers:
+        return committed
+    rows = reduce(lambda a, b: a.unionByName(b), (layer.select(*committed.columns, SEQ, OP).withColumn("_layer", F.lit(i)) for i, layer in enumerate(layers)))
     at = F.struct("_layer", SEQ)
     # the newest keyed change of each key, by an aggregate; appends after it stay beside it
     last = rows.where(F.col(OP).isin(*KEYED)).groupBy(*key).agg(F.max(at).alias("_last"))
-    joined = rows.join(last, key, "left")
     stays = F.col("_last").isNull() | (at >= F.col("_last"))
-    return joined.where(stays & (F.col(OP) != DELETE)).select(committed.columns)
+    changed = rows.join(last, key, "left").where(stays & (F.col(OP) != DELETE)).select(committed.columns)
+    # committed rows are older than all layers: they only lose their keys
+    return suppress(committed, last, key).unionByName(changed)
 
 
 def route_appends(appends: DataFrame, live: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -124,9 +125,14 @@ def ingest(tail: DataFrame, key: list[str]) -> DataFrame:
 
 def runs(tail: DataFrame) -> DataFrame:
     """Run-length groups of equal operations in order of sequence: first and last sequence, operation, rows."""
-    w = Window.orderBy(SEQ)
-    marked = tail.select(SEQ, OP).withColumn("_new", (F.lag(OP).over(w) != F.col(OP)).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w))
-    return marked.groupBy("_run", OP).agg(F.min(SEQ).alias("first_seq"), F.max(SEQ).alias("last_seq"), F.count("*").alias("n")).drop("_run")
+    # runs within ranges of the sequence, by all tasks; only those meet in one order
+    own = Window.partitionBy("_part").orderBy(SEQ)
+    ranged = tail.select(SEQ, OP).repartitionByRange(SEQ).withColumn("_part", F.spark_partition_id())
+    marked = ranged.withColumn("_new", (F.lag(OP).over(own) != F.col(OP)).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(own))
+    pieces = marked.groupBy("_part", "_run", OP).agg(F.min(SEQ).alias("first_seq"), F.max(SEQ).alias("last_seq"), F.count("*").alias("n"))
+    whole = Window.orderBy("first_seq")
+    joined = pieces.withColumn("_new", (F.lag(OP).over(whole) != F.col(OP)).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(whole))
+    return joined.groupBy("_run", OP).agg(F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.sum("n").alias("n")).drop("_run")
 
 
 def literal_key(text: str, kind: str) -> object | None:
