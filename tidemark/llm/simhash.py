@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import cut, release, set_aside, table, texts_of
+from tidemark.llm._shared import cut, release, set_aside, shipped, table, texts_of
 from tidemark.llm.components import components
 
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = SEED) -> DataFrame
             fps = np.array([bit_majority(shingle_hashes(t, width, seed)) for t in texts_of(b)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(shipped).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def ball(radius: int, bits: int = 64) -> list[int]:
@@ -108,150 +108,191 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- similarity of shingle sets, for the pipeline -------------------------------------------------
+#
+# At a similarity of 0.8 SimHash fingerprints differ in a seventh of their bits. Ball hashing of bands
+# takes some 325 variants a text for that, and more as the texts grow; min-wise bands find the same pairs
+# with BANDS keys a text at every size. (near_duplicates, above, keeps to ball hashing.)
 
 #: Five-word shingles of which at least so many are shared, as a share of their union.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of a band beyond those that tell all texts apart, the share of pairs at the least similarity that are found, and standard errors allowed in the first test.
-SPARE_BITS, RECALL, ERRORS = 6, 0.98, 5.0
-#: Odd multipliers that turn one 64-bit hash into a word of a longer one (fractions of the golden ratio's powers, by rule).
-MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(64)]
-
-
-def flip_rate(similarity: float) -> float:
-    """Share of the bits in which sets of that Jaccard similarity are expected to differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def plan_bands(n_texts: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a band and number of bands, from the number of texts: as the bits grow with its logarithm, so do the bands."""
-    bits = min(56, max(16, math.ceil(math.log2(max(2, n_texts))) + SPARE_BITS))
-    p = flip_rate(similarity)
-    hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+#: A band is one 64-bit word of eight min-wise symbols of a byte. Of pairs at 0.8, 1 - (1 - 0.8 ** 8) ** 32 = 0.997 share one.
+BANDS, SYMBOLS = 32, 8
+#: Standard errors that an estimate may lie below the similarity (beyond: 0.13 % of the pairs at the very threshold).
+ERRORS = 3.0
+#: Shingles whose symbols are taken at once.
+SHINGLES_AT_ONCE = 2048
+#: Rows of a batch that a worker has as Python objects.
+ROWS_AT_ONCE = 500
+#: Members of a block in which the texts of a large band that are not linked yet are compared.
+GROUP_BLOCK = 1024
+
+
+def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` words to be added and odd factors, by a multiplicative rule from the seed."""
+    x = (np.arange(1, 2 * n + 1, dtype=np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x = (x >> np.uint64(29)).astype(np.uint32)
+    return x[:n], x[n:] | np.uint32(1)
+
+
+_ADDED, _FACTORS = _mixers(BANDS * SYMBOLS)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """BANDS signed words of a shingle set: a byte of the least mixed hash for each symbol."""
+    low = np.full(BANDS * SYMBOLS, 0xFFFFFFFF, np.uint32)
+    top = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(top), SHINGLES_AT_ONCE):
+        x = top[at : at + SHINGLES_AT_ONCE, None] ^ _ADDED
+        x *= _FACTORS
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x846CA68B)
+        x ^= x >> np.uint32(16)
+        np.minimum(low, x.min(axis=0), out=low)
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view(np.int64)
+
+
+def most_differing(similarity: float) -> int:
+    """Bits in which sketches of a pair of that similarity differ, but for chance beyond ERRORS standard errors.
+
+    A symbol differs for one less the similarity; bytes that do are unrelated,
+    and differ in 4 bits with a variance of 2.
+    """
+    n, q = BANDS * SYMBOLS, 1 - similarity
+    return math.floor(n * q * 4 + ERRORS * math.sqrt(n * (q * 18 - (q * 4) ** 2)))
 
 
-def long_fingerprint(hashes: np.ndarray, words: int) -> list[int]:
-    """``words`` times 64 bits: majorities of as many mixes of each hash."""
-    out = []
-    for m in MULTIPLIERS[:words]:
-        x = hashes * np.uint64(m)
-        x ^= x >> np.uint64(29)
-        out.append(bit_majority(x * np.uint64(0xBF58476D1CE4E5B9)))
-    return out
+def _differing(x: str, y: str) -> Column:
+    """Bits in which two sketches differ."""
+    bits = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BANDS)]
+    return sum(bits[1:], bits[0])
 
 
-def _bands(words: list[int], bits: int, bands: int) -> list[int]:
-    whole = sum(w << (64 * i) for i, w in enumerate(words))
-    return [(whole >> (bits * k)) & ((1 << bits) - 1) for k in range(bands)]
+def _first_shared(x: str, y: str) -> Column:
+    """The first band that two sketches share, so that each pair is met in one place."""
+    return F.coalesce(*(F.when(F.col(x)[i] == F.col(y)[i], F.lit(i)) for i in range(BANDS)))
 
 
-def _prints(docs: DataFrame, width: int, bits: int, bands: int) -> DataFrame:
-    """(digest, fp, long, cuts) of the texts with words: the long fingerprint, its first word, and its bands."""
-    words = -(-bits * bands // 64)
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, digest, sketch) of the rows whose text has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, longs, cuts = [], [], []
-            for i, t in enumerate(texts_of(b)):
-                h = np.unique(shingle_hashes(t, width))
-                if len(h):
-                    keep.append(i)
-                    longs.append(np.array(f := long_fingerprint(h, words), np.uint64).view(np.int64))
-                    cuts.append(_bands(f, bits, bands))
-            columns = [b.column(n).take(pa.array(keep, pa.int64())) for n in ("doc_id", "digest", "row")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in longs], pa.int64()), pa.array(longs, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int64()))], names=["doc_id", "digest", "row", "fp", "long", "cuts"])
-
-    return docs.select("doc_id", "digest", "row", "text").mapInArrow(run, "doc_id bigint, digest bigint, row bigint, fp bigint, long array<bigint>, cuts array<bigint>")
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(at, ROWS_AT_ONCE)
+                keep, found = [], []
+                for i, t in enumerate(texts_of(b)):
+                    h = shingle_hashes(t, width)
+                    if len(h):
+                        keep.append(i)
+                        found.append(sketch(h))
+                columns = [b.column(n).take(pa.array(keep, pa.int64())) for n in ("doc_id", "digest")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "sketch"])
 
+    return docs.select("doc_id", "digest", "text").transform(shipped).mapInArrow(run, "doc_id bigint, digest binary, sketch array<bigint>")
 
-def _most(similarity: float, bits: int) -> int:
-    """Differing bits of so many that a pair of that similarity does not pass, but for chance beyond ERRORS standard errors."""
-    p = flip_rate(similarity)
-    return int(bits * min(0.5, p + ERRORS * math.sqrt(p * (1 - p) / bits)))
 
+def banded(texts: DataFrame) -> DataFrame:
+    """(band, key, node): the keys on which texts meet."""
+    each = texts.select("node", F.posexplode("sketch").alias("band", "word"))
+    return each.select("band", F.xxhash64("band", "word").alias("key"), "node")
 
-#: Members of a variant of which the one before and the first make all pairs, and those of a block in which larger ones are paired.
-FEW, GROUP_BLOCK = 3, 1024
 
+def led(keys: DataFrame) -> DataFrame:
+    """(band, key, node, leader, n) of the keys of several texts; the leader is the least of them.
 
-def meetings(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """(fp, variant, near): the fingerprints that one meets on a variant of a band and agrees with on enough of the first word.
-
-    Each member of a variant meets the one before it and the first, in the order
-    of the fingerprint: all pairs of up to FEW members. In a larger variant they
-    are but a first try, and ``variant`` is set for across() to pair the rest; it
-    is null elsewhere.
-    """
-    flips = F.array(*(F.lit(m) for m in ball(1, bits)))
-    banded = prints.select("fp", F.posexplode("cuts").alias("band", "cut"))
-    # a band's number goes above its bits: one column is the key, with few bytes that aren't zero
-    keys = banded.select("fp", F.explode(F.transform(flips, lambda m: F.shiftleft(F.col("band").cast("bigint"), bits) + F.col("cut").bitwiseXOR(m))).alias("variant"))
-    window = Window.partitionBy("variant").orderBy("fp")
-    near = F.array(F.lag("fp").over(window), F.first("fp").over(window))
-    met = keys.select("fp", "variant", near.alias("near"), F.count("*").over(Window.partitionBy("variant")).alias("n")).where("n > 1")
-    most = _most(similarity, 64)
-    passed = F.filter(F.array_distinct("near"), lambda x: x.isNotNull() & (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= most))
-    return met.select("fp", F.when(F.col("n") > FEW, F.col("variant")).alias("variant"), passed.alias("near")).where("variant is not null or size(near) > 0")
-
-
-def across(crowded: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of digests: all that share a variant, have different roots, and agree on enough of the first word.
-
-    ``crowded``: (variant, fp); ``members``: (fp, digest, root). What is linked
-    already needs no pair, so a variant of one root makes none. A large variant
-    is dealt into blocks by the digest, and every two blocks meet in a group of
-    their own, so that no task has a whole variant to pair.
+    Counts and leaders are partial aggregates, and joined back: no key's texts
+    are gathered in a task, however many they are.
     """
-    each = cut(crowded.join(members, "fp"))
-    several = each.groupBy("variant").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    blocks = several.select("variant", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
-    dealt = each.join(blocks, "variant").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    left = dealt.select("variant", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), F.col("digest").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("xa"))
-    right = dealt.select("variant", F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"), F.col("digest").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("xb"))
-    where = (F.col("xa") != F.col("xb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= _most(similarity, 64))
-    both = left.join(right, ["variant", "lo", "hi"]).where(where)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    return keys.join(leaders, "key")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) of digests whose shingle sets reach the similarity."""
+def _similar(x: str, y: str, similarity: float) -> Column:
+    """Whether two arrays of distinct shingles reach the similarity."""
+    shared = F.size(F.array_intersect(x, y))
+    return shared >= F.lit(similarity) * (F.size(x) + F.size(y) - shared)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [np.unique(shingle_hashes(t, width)).view(np.int64).tobytes() for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(h, pa.binary())], names=["row", "shingles"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _shingles(docs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes: of each text the row of its least doc_id is read again."""
 
-    named = cut(pairs.select(F.col("ra").alias("row"), F.col("a").alias("digest")).union(pairs.select("rb", "b")).distinct())
-    shingles = cut(suspected(docs.select("row", "text"), "row", named).join(named.select("row"), "row").mapInArrow(sets, "row bigint, shingles binary").join(named, "row").dropDuplicates(["digest"]).select("digest", "shingles"))
-    left = shingles.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
-    right = shingles.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(verify, "a bigint, b bigint")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(at, ROWS_AT_ONCE)
+                h = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts_of(b)]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(h, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    named = cut(texts.join(nodes.distinct(), "node").select("node", "digest", F.col("head").alias("doc_id")))
+    read = suspected(docs.select("doc_id", "digest", "text"), ["doc_id", "digest"], named).join(named, ["doc_id", "digest"]).dropDuplicates(["node"])
+    return cut(read.select("node", "text").transform(shipped).mapInArrow(sets, "node bigint, shingles array<bigint>"))
+
+
+def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets reach the similarity."""
+    sets = _shingles(docs, texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), width)
+    side = lambda at, x: sets.select(F.col("node").alias(at), F.col("shingles").alias(x))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_similar("x", "y", similarity)).select("a", "b")
+
+
+def across(docs: DataFrame, crowded: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes that share a key, have different roots, were not compared with their leader, and reach the similarity.
+
+    In a key most texts have the root of its leader by now. Only the others meet
+    all, dealt into blocks of GROUP_BLOCK by GROUP_BLOCK texts, so that no task
+    has a whole key; a key of one root makes no pair. A pair is compared on its
+    first shared band alone. Semi joins by sketch tell which texts have anybody
+    to be compared with; those get their shingles, and the last join compares
+    within its condition: what comes out of any of them is texts or links, and
+    no pair that fails.
+    """
+    of = lambda at, name: roots.select(F.col("node").alias(at), F.col("root").alias(name))
+    each = crowded.join(of("node", "own"), "node", "left").join(of("leader", "main"), "leader", "left")
+    each = cut(each.withColumns({"own": F.coalesce("own", "node"), "main": F.coalesce("main", "leader")}).withColumn("other", F.col("own") != F.col("main")))
+    sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("other").cast("int")).alias("m")).where("m > 0")
+    if sizes.isEmpty():
+        return crowded.sparkSession.createDataFrame([], "a bigint, b bigint")
+    blocks = lambda c: F.ceil(F.col(c) / GROUP_BLOCK).cast("int")
+    sized = sizes.select("key", blocks("m").alias("ms"), blocks("n").alias("ns"))
+    dealt = cut(each.drop("n", "main").join(sized, "key").join(texts.select("node", "sketch"), "node"))
+    place = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    left = dealt.where("other").select("key", "band", "leader", place("ms").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("hi"), F.col("node").alias("a"), F.col("own").alias("ra"), F.col("sketch").alias("x"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("lo"), place("ns").alias("hi"), F.col("node").alias("b"), F.col("own").alias("rb"), F.col("other").alias("too"), F.col("sketch").alias("y"))
+
+    def near(p: DataFrame, q: DataFrame) -> Column:
+        place = (p["key"] == q["key"]) & (p["lo"] == q["lo"]) & (p["hi"] == q["hi"])
+        once = (F.col("ra") != F.col("rb")) & (~F.col("too") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader"))
+        return place & once & (_differing("x", "y") <= most_differing(similarity)) & (_first_shared("x", "y") == F.col("band"))
+
+    some_left = cut(left.join(right, near(left, right), "left_semi"))
+    some_right = cut(right.join(some_left, near(right, some_left), "left_semi"))
+    sets = _shingles(docs, texts, some_left.select(F.col("a").alias("node")).union(some_right.select("b")), width)
+    side = lambda at, x: sets.select(F.col("node").alias(at), F.col("shingles").alias(x))
+    # the blocks are even already: dealt by hand, so that the planner doesn't divide them again, each part with each
+    p, q = (x.repartition("key", "lo", "hi") for x in (some_left.join(side("a", "sx"), "a"), some_right.join(side("b", "sy"), "b")))
+    return p.join(q, F.when(near(p, q), _similar("sx", "sy", similarity)).otherwise(False) & (p["key"] == q["key"]) & (p["lo"] == q["lo"]) & (p["hi"] == q["hi"])).select("a", "b")
 
 
 #: Bits of the filter that spares rows a join; its size does not grow with the data.
 FILTER_BITS = 1 << 24
 
 
+def _places(columns: list[str]) -> list[Column]:
+    return [F.pmod(F.xxhash64(*columns, F.lit(i)), F.lit(FILTER_BITS)) for i in (1, 2)]
+
+
 def _filter_of(keys: DataFrame) -> np.ndarray:
     """A bit for each hash of a key (two of them); at most FILTER_BITS / 64 rows reach the driver."""
-    at = F.explode(F.array(*(F.pmod(F.xxhash64(keys.columns[0], F.lit(i)), F.lit(FILTER_BITS)) for i in (1, 2))))
-    rows = keys.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    rows = keys.select(F.explode(F.array(*_places(keys.columns))).alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
-def _may_hold(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``df`` with a column _may: false only where ``key`` is not among ``keys``."""
+def _may_hold(df: DataFrame, key: list[str], keys: DataFrame) -> DataFrame:
+    """``df`` with a column _may: false only where the columns ``key`` are not among ``keys``."""
     sent = df.sparkSession.sparkContext.broadcast(_filter_of(keys.select(key)))
 
     @F.pandas_udf("boolean")
@@ -262,10 +303,10 @@ def _may_hold(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
         return pd.Series((hit[0] & hit[1]).astype(bool))
 
-    return df.withColumn("_may", may(*(F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)) for i in (1, 2))))
+    return df.withColumn("_may", may(*_places(key)))
 
 
-def suspected(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def suspected(df: DataFrame, key: list[str], keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` may be among ``keys``: all that are, and few others."""
     return _may_hold(df, key, keys).where("_may").drop("_may")
 
@@ -274,48 +315,41 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     """``docs`` with one document of each group of near copies: that of the least doc_id.
 
     Groups are the connected components of texts whose sets of ``width``-word
-    shingles reach the similarity; equal texts are always of one group. Texts
-    without words (null too) are of no group, and all stay, as do rows of null
-    doc_id. Of repeated rows of one doc_id and text one stays.
+    shingles reach the similarity; equal texts (by 128 bits) are always of one
+    group. Texts without words (null too) are of no group, and all stay, as do
+    rows of null doc_id. Of repeated rows of one doc_id and text one stays; of
+    different texts of the least doc_id, that of the least digest. Long texts
+    are hashed in parts. An empty table gives an empty one; columns of names
+    used here are set aside and come back under their own.
+
+    Every text meets the leader of each of its BANDS keys; whoever reaches the
+    similarity is linked. Then all pairs of a key that are not linked by that
+    are compared, so that the links connect what all pairs would connect.
     """
-    docs, back = set_aside(docs, {"digest", "row", "head", "_may"})
+    docs, back = set_aside(docs, {"digest", "node", "head", "first", "_may"})
     clean = docs.where("doc_id is not null")
-    keyed = clean.withColumns({"digest": F.xxhash64("text", F.length("text")), "row": F.xxhash64("doc_id", "text", F.length("text"))})
-    n = docs.count()
-    bits, bands = plan_bands(n, similarity)
-    prints = cut(_prints(keyed, width, bits, bands))
-    texts = cut(prints.groupBy("digest").agg(F.min_by(F.struct("row", "fp", "long", "cuts"), F.struct("doc_id", "row")).alias("x"), F.min("doc_id").alias("head")).select("digest", "head", "x.*"))
-    one = cut(texts.groupBy("fp").agg(F.min_by(F.struct("digest", "row", "long", "cuts"), "digest").alias("x")).select("fp", "x.*"))
-    met = cut(meetings(one, bits, similarity))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    words = -(-bits * bands // 64)
-
-    def close(pairs: DataFrame, key: str) -> DataFrame:
-        side = lambda at, a, r, x: one.select(F.col(key).alias(at), F.col("digest").alias(a), F.col("row").alias(r), F.col("long").alias(x))
-        return pairs.join(side("at", "a", "ra", "x"), "at").join(side("bt", "b", "rb", "y"), "bt").where(apart <= _most(similarity, 64 * words)).select("a", "ra", "b", "rb")
-
-    same = texts.select("fp", F.col("digest").alias("a"), F.col("row").alias("ra")).join(one.select("fp", F.col("digest").alias("b"), F.col("row").alias("rb")), "fp").where("a <> b").drop("fp")
-    first = met.select(F.col("fp").alias("at"), F.explode("near").alias("bt")).distinct()
-    pairs = cut(close(first, "fp").union(same))
-    del same, first
-    release(docs.sparkSession)
-    links = cut(_verified(keyed, pairs, similarity, width))
+    keyed = clean.withColumn("digest", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    prints = cut(_sketches(keyed.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")}), width))
+    unique = prints.groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("sketch").alias("sketch"))
+    texts = cut(unique.withColumn("node", F.monotonically_increasing_id()))
+    met = cut(led(banded(texts)))
+    wide = lambda at, x: texts.select(F.col("node").alias(at), F.col("sketch").alias(x))
+    first = met.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = cut(first.join(wide("b", "y"), "b").join(wide("a", "x"), "a").where(_differing("x", "y") <= most_differing(similarity)).select("a", "b"))
+    links = cut(verified(keyed, texts, pairs, similarity, width))
     release(docs.sparkSession)
     roots = components(links)
-    # in larger variants, all pairs of what the first ones have not linked
-    rooted = cut(one.select("fp", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")))
-    rest = cut(close(across(met.where("variant is not null").select("variant", "fp"), rooted, similarity).withColumnsRenamed({"a": "at", "b": "bt"}), "digest"))
-    if not rest.isEmpty():
-        more = cut(_verified(keyed, rest, similarity, width))
-        release(docs.sparkSession)
-        if not more.isEmpty():
-            roots = components(links.union(more))
-    del met, rest
-    grouped = texts.select("digest", "head", "row").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    heads = cut(grouped.groupBy("root").agg(F.min_by("row", F.struct("head", "row")).alias("row")).select("row"))
-    rows = prints.groupBy("row").agg(F.count("*").alias("n"))
-    doubtful = cut(rows.join(heads.withColumn("head", F.lit(True)), "row", "left").where("head is null or n > 1").select("row", F.coalesce("head", F.lit(False)).alias("head")))
-    marked = _may_hold(keyed, "row", doubtful)
-    tried = marked.where("_may").join(doubtful, "row", "left")
-    tried = tried.where("head is null").union(tried.where("head").dropDuplicates(["row"]))
+    # the planner may have divided a large key among thousands of tasks: few links come together again
+    more = cut(across(keyed, met.where("n > 2"), roots, texts, similarity, width).distinct())
+    if not more.isEmpty():
+        roots = components(links.union(more))
+    del met, first, pairs
+    release(docs.sparkSession)
+    grouped = texts.select("digest", "head", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = grouped.groupBy("root").agg(F.min(F.struct("head", "digest")).alias("x")).select(F.col("x.head").alias("doc_id"), "x.digest", F.lit(True).alias("first"))
+    rows = prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    doubtful = cut(rows.join(heads, ["doc_id", "digest"], "left").where("first is null or n > 1").select("doc_id", "digest", F.coalesce("first", F.lit(False)).alias("first")))
+    marked = _may_hold(keyed, ["doc_id", "digest"], doubtful)
+    tried = marked.where("_may").join(doubtful, ["doc_id", "digest"], "left")
+    tried = tried.where("first is null").union(tried.where("first").dropDuplicates(["doc_id", "digest"]))
     return marked.where("not _may").select(docs.columns).union(tried.select(docs.columns)).union(docs.where("doc_id is null")).withColumnsRenamed(back)
