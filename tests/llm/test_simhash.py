@@ -207,6 +207,80 @@ def test_recall_of_single_pairs_at_the_threshold(spark):
     assert hits / 4000 >= 0.985
 
 
+def test_long_fingerprints_are_majorities_of_mixed_hashes():
+    r = random.Random(8)
+    for n in (1, 2, 255, 256, 700):
+        hashes = [r.getrandbits(64) for _ in range(n)]
+        whole = 0
+        for w in range(3):
+            mixed = []
+            for h in hashes:
+                x = h * (0x9E3779B97F4A7C15 * (2 * w + 1) | 1) % (1 << 64)
+                x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                mixed.append(x ^ x >> 32)
+            whole |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > n) << 64 * w
+        got = simhash.long_fingerprint(np.array(hashes, np.uint64), 3).view(np.uint64).tolist()
+        assert sum(x << 64 * i for i, x in enumerate(got)) == whole
+
+
+def test_balls_meet_what_differs_in_two_bits_of_a_band_in_one_place(spark):
+    r = random.Random(6)
+    bits, bands = 24, 13
+    words = -(-bits * bands // 64)
+    whole = [r.getrandbits(64 * words) for _ in range(12)]
+    whole += [x ^ sum(1 << i for i in r.sample(range(64 * words), n)) for x in whole for n in (0, 1, 3, 20, 40, 60)]
+    signed = lambda x: [w - (1 << 64) if (w := x >> 64 * i & (1 << 64) - 1) >> 63 else w for i in range(words)]
+    texts = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(whole)], "node bigint, simhash array<bigint>")
+    keys = {}
+    for x in simhash.ball_keys(texts, bits, range(bands)).collect():
+        assert x.fp == signed(whole[x.node])[0]
+        keys.setdefault(x.node, set()).add(x.key)
+    cut = lambda x, k: x >> bits * k & (1 << bits) - 1
+    assert keys == {i: {(k << bits) + (cut(x, k) ^ m) for k in range(bands) for m in simhash.ball(1, bits)} for i, x in enumerate(whole)}
+    side = lambda n, x: texts.select(F.col("node").alias(n), F.col("simhash").alias(x))
+    both = side("a", "x").crossJoin(side("b", "y")).select("a", "b", simhash._first_ball("x", "y", bits, bands).alias("at")).collect()
+    assert all((p.at is None) == (not keys[p.a] & keys[p.b]) and (p.at is None or p.at in keys[p.a] & keys[p.b]) for p in both)
+    place = {(p.a, p.b): p.at for p in both}
+    assert all(place[a, b] == place[b, a] for a, b in place)
+    for (a, b), at in place.items():
+        near = [k for k in range(bands) if (cut(whole[a], k) ^ cut(whole[b], k)).bit_count() <= 2]
+        assert (at >> bits if at is not None else None) == (near[0] if near else None)
+
+
+def test_balls_alone_meet_their_share_of_pairs_at_the_threshold():
+    """Of 2,000 pairs of similarity 0.8 by construction, at every number of texts."""
+    r = np.random.default_rng(3)
+    both, x, y = (r.integers(0, 1 << 63, (2000, n), dtype=np.int64).view(np.uint64) * np.uint64(2) for n in (400, 50, 50))
+    for n in (500, 220_000, 13_000_000):
+        bits, bands = simhash.plan_balls(n)
+        words = -(-bits * bands // 64)
+        hits = 0
+        for i in range(2000):
+            a, b = (simhash.long_fingerprint(np.concatenate((both[i], z[i])), words).view(np.uint64).tolist() for z in (x, y))
+            apart = sum((p ^ q) << 64 * j for j, (p, q) in enumerate(zip(a, b)))
+            hits += any((apart >> bits * k & (1 << bits) - 1).bit_count() <= 2 for k in range(bands)) and apart.bit_count() <= simhash.most_flipped(0.8, 64 * words)
+        print(n, bits, bands, hits / 2000)
+        assert hits / 2000 >= 0.97
+
+
+def test_the_balls_link_near_copies_without_the_bands(spark, make, monkeypatch):
+    """Candidates come from ball hashing of SimHash fingerprints; min-wise bands only go over the rest."""
+    r = random.Random(17)
+    texts = families(r, [25] * 8, words=400) + [" ".join(str(r.random()) for _ in range(60)) for _ in range(100)]
+    docs, want, banded = make(*texts), all_pairs(texts), simhash.banded
+    assert 108 <= len(want) < 200
+    monkeypatch.setattr(simhash, "banded", lambda t: banded(t).limit(0))
+    got = sorted(x.doc_id for x in simhash.deduplicate(docs).collect())
+    assert set(got) >= set(want) and len(got) <= len(want) + 0.02 * (len(texts) - len(want))
+    # in rounds of one band, and with small blocks for what the leaders leave
+    monkeypatch.setattr(simhash, "ROUND_KEYS", 1)
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", 8)
+    assert sorted(x.doc_id for x in simhash.deduplicate(docs).collect()) == got
+    # as many as with the bands, but for their share; and all with both
+    monkeypatch.setattr(simhash, "banded", banded)
+    assert sorted(x.doc_id for x in simhash.deduplicate(docs).collect()) == want
+
+
 def test_empty_table(spark, make, folder):
     assert simhash.op3_simhash(spark, folder(documents=make("x").limit(0))).count() == 0
     assert simhash.deduplicate(make("x").limit(0)).count() == 0

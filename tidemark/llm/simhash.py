@@ -15,6 +15,7 @@ its component.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -109,12 +110,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- similarity of shingle sets, for the pipeline -------------------------------------------------
 #
-# At a similarity of 0.8 SimHash fingerprints differ in a seventh of their bits. Ball hashing of bands
-# takes some 325 variants a text for that, and more as the texts grow; min-wise bands find the same pairs
-# with BANDS keys a text at every size. (near_duplicates, above, keeps to ball hashing.)
+# At a similarity of 0.8 SimHash fingerprints differ in a seventh of their bits, too many for a ball. So a
+# text has a longer SimHash fingerprint, cut into bands, and ball hashing finds the texts that differ in at
+# most two bits of a band. Min-wise bands then go over what the balls have left apart.
 
 #: Five-word shingles of which at least so many are shared, as a share of their union.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of a ball's band beyond those that tell all texts apart, and the share of pairs at the least similarity that the balls meet.
+SPARE_BITS, RECALL = 6, 0.98
+#: Variants a text that are dealt at once: more bands take more rounds, and no more disk.
+ROUND_KEYS = 128
+#: Shingles whose SimHash bits are counted at once: as many as a byte counts.
+COUNTED_AT_ONCE = 255
 #: A band is one 64-bit word of eight min-wise symbols of a byte. Of pairs at 0.8, 1 - (1 - 0.8 ** 8) ** 32 = 0.997 share one.
 BANDS, SYMBOLS = 32, 8
 #: Standard errors that an estimate may lie below the similarity (beyond: 0.13 % of the pairs at the very threshold).
@@ -127,6 +134,90 @@ ROWS_AT_ONCE = 500
 GROUP_BLOCK = 1024
 
 
+def flip_rate(similarity: float) -> float:
+    """Share of the SimHash bits in which sets of that Jaccard similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def plan_balls(n_texts: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a band and number of bands, from the number of texts: as the bits grow with its logarithm, so do the bands."""
+    bits = min(56, max(16, math.ceil(math.log2(max(2, n_texts))) + SPARE_BITS))
+    p = flip_rate(similarity)
+    hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` signed words of a shingle set: bit majorities of as many mixes of each hash."""
+    factors = (np.arange(words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), COUNTED_AT_ONCE):
+        x = hashes[at : at + COUNTED_AT_ONCE, None] * factors
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)
+
+
+def most_flipped(similarity: float, bits: int) -> int:
+    """SimHash bits of so many in which a pair of that similarity differs, but for chance beyond ERRORS standard errors."""
+    p = flip_rate(similarity)
+    return math.floor(bits * p + ERRORS * math.sqrt(bits * p * (1 - p)))
+
+
+def _band(fingerprint: str, bits: int, k: int) -> Column:
+    """The bits of band ``k`` of a long fingerprint."""
+    i, off = divmod(bits * k, 64)
+    word = F.shiftrightunsigned(F.col(fingerprint)[i], off)
+    if off + bits > 64:
+        word = word.bitwiseOR(F.shiftleft(F.col(fingerprint)[i + 1], 64 - off))
+    return word.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def ball_keys(texts: DataFrame, bits: int, bands: range) -> DataFrame:
+    """(key, node, fp): the variants of radius 1 of the bands, the band's number above the bits; fp is the first word."""
+    cuts = texts.select("node", F.col("simhash")[0].alias("fp"), *(_band("simhash", bits, k).alias(f"cut{k}") for k in bands))
+    variants = [F.lit(k << bits) + F.col(f"cut{k}").bitwiseXOR(F.lit(m)) for k in bands for m in ball(1, bits)]
+    return cuts.select(F.explode(F.array(*variants)).alias("key"), "node", "fp")
+
+
+def met_in_balls(texts: DataFrame, bits: int, bands: int, similarity: float) -> DataFrame:
+    """(key, node, leader, n, near) of the variants of several texts; the leader is the least of them.
+
+    ``near`` says whether the text is not the leader and may, by the first word,
+    reach the similarity with it. Of variants of two texts only near ones come
+    out, of larger ones all. A round deals ROUND_KEYS
+    variants a text, once, and its shuffle files go before the next.
+    """
+    per, found = max(1, ROUND_KEYS // (bits + 1)), []
+    for at in range(0, bands, per):
+        keys = ball_keys(texts, bits, range(at, min(bands, at + per))).repartition("key")
+        leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.min_by("fp", "node").alias("first"), F.count("*").alias("n")).where("n > 1")
+        near = (F.col("node") != F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first"))) <= most_flipped(similarity, 64))
+        found.append(cut(keys.join(leaders, "key").select("key", "node", "leader", "n", near.alias("near")).where("near or n > 2")))
+        del keys, leaders
+        release(texts.sparkSession)
+    return functools.reduce(DataFrame.union, found)
+
+
+def _first_ball(x: str, y: str, bits: int, bands: int) -> Column:
+    """The first variant that two long fingerprints share, so that each pair is met in one place.
+
+    Words of one or two differing bits share two variants: those in which all
+    but one of these bits are the one's, the last of them or the first.
+    """
+
+    def shared(k: int) -> Column:
+        u, v = _band(x, bits, k), _band(y, bits, k)
+        apart = u.bitwiseXOR(v)
+        low = apart.bitwiseAND(-apart)
+        met = F.when(F.bit_count(apart) < 2, F.least(u, v)).otherwise(F.least(u.bitwiseXOR(low), v.bitwiseXOR(low)))
+        return F.when(F.bit_count(apart) <= 2, F.lit(k << bits) + met)
+
+    return F.coalesce(*(shared(k) for k in range(bands)))
+
+
 def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``n`` words to be added and odd factors, by a multiplicative rule from the seed."""
     x = (np.arange(1, 2 * n + 1, dtype=np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
@@ -163,9 +254,9 @@ def most_differing(similarity: float) -> int:
     return math.floor(n * q * 4 + ERRORS * math.sqrt(n * (q * 18 - (q * 4) ** 2)))
 
 
-def _differing(x: str, y: str) -> Column:
+def _differing(x: str, y: str, words: int = BANDS) -> Column:
     """Bits in which two sketches differ."""
-    bits = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BANDS)]
+    bits = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(words)]
     return sum(bits[1:], bits[0])
 
 
@@ -174,23 +265,24 @@ def _first_shared(x: str, y: str) -> Column:
     return F.coalesce(*(F.when(F.col(x)[i] == F.col(y)[i], F.lit(i)) for i in range(BANDS)))
 
 
-def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, digest, sketch) of the rows whose text has words."""
+def _sketches(docs: DataFrame, width: int, words: int) -> DataFrame:
+    """(doc_id, digest, simhash, sketch) of the rows whose text has words: the long fingerprint and the min-wise one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 b = whole.slice(at, ROWS_AT_ONCE)
-                keep, found = [], []
+                keep, longs, found = [], [], []
                 for i, t in enumerate(texts_of(b)):
-                    h = shingle_hashes(t, width)
+                    h = np.unique(shingle_hashes(t, width))
                     if len(h):
                         keep.append(i)
+                        longs.append(long_fingerprint(h, words))
                         found.append(sketch(h))
                 columns = [b.column(n).take(pa.array(keep, pa.int64())) for n in ("doc_id", "digest")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "sketch"])
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.list_(pa.int64())) for x in (longs, found))], names=["doc_id", "digest", "simhash", "sketch"])
 
-    return docs.select("doc_id", "digest", "text").transform(shipped).mapInArrow(run, "doc_id bigint, digest binary, sketch array<bigint>")
+    return docs.select("doc_id", "digest", "text").transform(shipped).mapInArrow(run, "doc_id bigint, digest binary, simhash array<bigint>, sketch array<bigint>")
 
 
 def banded(texts: DataFrame) -> DataFrame:
@@ -230,6 +322,12 @@ def _shingles(docs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) -
     return cut(read.select("node", "text").transform(shipped).mapInArrow(sets, "node bigint, shingles array<bigint>"))
 
 
+def estimated(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches let them reach the similarity."""
+    wide = lambda at, x: texts.select(F.col("node").alias(at), F.col("sketch").alias(x))
+    return cut(pairs.join(wide("b", "y"), "b").join(wide("a", "x"), "a").where(_differing("x", "y") <= most_differing(similarity)).select("a", "b"))
+
+
 def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets reach the similarity."""
     sets = _shingles(docs, texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), width)
@@ -237,34 +335,37 @@ def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: fl
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_similar("x", "y", similarity)).select("a", "b")
 
 
-def across(docs: DataFrame, crowded: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+def across(docs: DataFrame, crowded: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, width: int, likely: Column | None = None, place: Column | None = None) -> DataFrame:
     """The pairs (a, b) of nodes that share a key, have different roots, were not compared with their leader, and reach the similarity.
 
     In a key most texts have the root of its leader by now. Only the others meet
     all, dealt into blocks of GROUP_BLOCK by GROUP_BLOCK texts, so that no task
     has a whole key; a key of one root makes no pair. A pair is compared on its
-    first shared band alone. Semi joins by sketch tell which texts have anybody
+    first shared band alone, or on the key ``place`` of the sketches x and y,
+    and only if they are ``likely`` to be similar. Semi joins by sketch tell which texts have anybody
     to be compared with; those get their shingles, and the last join compares
     within its condition: what comes out of any of them is texts or links, and
     no pair that fails.
     """
+    likely = _differing("x", "y") <= most_differing(similarity) if likely is None else likely
+    at, shared = ("band", _first_shared("x", "y")) if place is None else ("key", place)
     of = lambda at, name: roots.select(F.col("node").alias(at), F.col("root").alias(name))
     each = crowded.join(of("node", "own"), "node", "left").join(of("leader", "main"), "leader", "left")
-    each = cut(each.withColumns({"own": F.coalesce("own", "node"), "main": F.coalesce("main", "leader")}).withColumn("other", F.col("own") != F.col("main")))
+    each = cut(each.withColumns({"own": F.coalesce("own", "node"), "main": F.coalesce("main", "leader")}).withColumn("other", F.col("own") != F.col("main")).drop("n", "main"))
     sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("other").cast("int")).alias("m")).where("m > 0")
     if sizes.isEmpty():
         return crowded.sparkSession.createDataFrame([], "a bigint, b bigint")
     blocks = lambda c: F.ceil(F.col(c) / GROUP_BLOCK).cast("int")
     sized = sizes.select("key", blocks("m").alias("ms"), blocks("n").alias("ns"))
-    dealt = cut(each.drop("n", "main").join(sized, "key").join(texts.select("node", "sketch"), "node"))
+    dealt = cut(each.join(sized, "key").join(texts.select("node", "sketch"), "node"))
     place = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    left = dealt.where("other").select("key", "band", "leader", place("ms").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("hi"), F.col("node").alias("a"), F.col("own").alias("ra"), F.col("sketch").alias("x"))
+    left = dealt.where("other").select("key", F.col(at).alias("at"), "leader", place("ms").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("hi"), F.col("node").alias("a"), F.col("own").alias("ra"), F.col("sketch").alias("x"))
     right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("lo"), place("ns").alias("hi"), F.col("node").alias("b"), F.col("own").alias("rb"), F.col("other").alias("too"), F.col("sketch").alias("y"))
 
     def near(p: DataFrame, q: DataFrame) -> Column:
         place = (p["key"] == q["key"]) & (p["lo"] == q["lo"]) & (p["hi"] == q["hi"])
         once = (F.col("ra") != F.col("rb")) & (~F.col("too") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader"))
-        return place & once & (_differing("x", "y") <= most_differing(similarity)) & (_first_shared("x", "y") == F.col("band"))
+        return place & once & likely & (shared == F.col("at"))
 
     some_left = cut(left.join(right, near(left, right), "left_semi"))
     some_right = cut(right.join(some_left, near(right, some_left), "left_semi"))
@@ -322,28 +423,46 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     are hashed in parts. An empty table gives an empty one; columns of names
     used here are set aside and come back under their own.
 
-    Every text meets the leader of each of its BANDS keys; whoever reaches the
-    similarity is linked. Then all pairs of a key that are not linked by that
-    are compared, so that the links connect what all pairs would connect.
+    Candidates come from ball hashing: every text meets the leader of each of
+    its variants, and whoever reaches the similarity is linked. Then all pairs
+    of a variant that are not linked by that are compared, so that the links
+    connect what all pairs would connect. The same follows on min-wise bands,
+    for what has different roots by then.
     """
     docs, back = set_aside(docs, {"digest", "node", "head", "first", "_may"})
     clean = docs.where("doc_id is not null")
     keyed = clean.withColumn("digest", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    prints = cut(_sketches(keyed.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")}), width))
-    unique = prints.groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("sketch").alias("sketch"))
+    bits, bands = plan_balls(docs.count(), similarity)
+    words = -(-bits * bands // 64)
+    prints = cut(_sketches(keyed.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")}), width, words))
+    unique = prints.groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("simhash").alias("simhash"), F.first("sketch").alias("sketch"))
     texts = cut(unique.withColumn("node", F.monotonically_increasing_id()))
+    met = met_in_balls(texts, bits, bands, similarity)
+    first = met.where("near").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(verified(keyed, texts, estimated(texts, first, similarity), similarity, width))
+    roots = components(links)
+    long = texts.drop("sketch").withColumnRenamed("simhash", "sketch")
+    likely = _differing("x", "y", words) <= most_flipped(similarity, 64 * words)
+    more = cut(across(keyed, met.where("n > 2").drop("near"), roots, long, similarity, width, likely, _first_ball("x", "y", bits, bands)).distinct())
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = components(links)
+    del met, first, more
+    release(docs.sparkSession)
     met = cut(led(banded(texts)))
-    wide = lambda at, x: texts.select(F.col("node").alias(at), F.col("sketch").alias(x))
+    of = lambda at, name: roots.select(F.col("node").alias(at), F.col("root").alias(name))
     first = met.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = cut(first.join(wide("b", "y"), "b").join(wide("a", "x"), "a").where(_differing("x", "y") <= most_differing(similarity)).select("a", "b"))
-    links = cut(verified(keyed, texts, pairs, similarity, width))
+    apart = first.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    more = cut(verified(keyed, texts, estimated(texts, apart, similarity), similarity, width))
     release(docs.sparkSession)
-    roots = components(links)
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = components(links)
     # the planner may have divided a large key among thousands of tasks: few links come together again
     more = cut(across(keyed, met.where("n > 2"), roots, texts, similarity, width).distinct())
     if not more.isEmpty():
         roots = components(links.union(more))
-    del met, first, pairs
+    del met, first, apart
     release(docs.sparkSession)
     grouped = texts.select("digest", "head", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = grouped.groupBy("root").agg(F.min(F.struct("head", "digest")).alias("x")).select(F.col("x.head").alias("doc_id"), "x.digest", F.lit(True).alias("first"))
