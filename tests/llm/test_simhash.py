@@ -281,6 +281,52 @@ def test_the_balls_link_near_copies_without_the_bands(spark, make, monkeypatch):
     assert sorted(x.doc_id for x in simhash.deduplicate(docs).collect()) == want
 
 
+def test_packed_variants_meet_as_all_pairs_do_and_take_few_bytes(spark, monkeypatch):
+    """The rows of variants against plain groups of ball keys; the shuffle has half of the bytes of plain rows."""
+    r = random.Random(12)
+    bits, bands = 18, 9
+    words = -(-bits * bands // 64)
+    whole = [r.getrandbits(64 * words) for _ in range(150)]
+    whole += [x ^ sum(1 << i for i in r.sample(range(64 * words), n)) for x in whole[:12] for n in (0, 1, 2, 5, 9, 14, 20, 30)]
+    signed = lambda x: [w - (1 << 64) if (w := x >> 64 * i & (1 << 64) - 1) >> 63 else w for i in range(words)]
+    texts = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(whole)], "node bigint, simhash array<bigint>")
+    groups = {}
+    for x in simhash.ball_keys(texts, bits, range(bands)).collect():
+        groups.setdefault(x.key, []).append(x.node)
+    cut = lambda x, k: x >> bits * k & (1 << bits) - 1
+    near, pairs = set(), set()
+    for key, nodes in groups.items():
+        nodes.sort()
+        near |= {(key, nodes[0], n) for n in nodes[1:] if ((whole[n] ^ whole[nodes[0]]) & (1 << 64) - 1).bit_count() <= simhash.most_flipped(0.8, 64)}
+        for i, a in enumerate(nodes[1:]):
+            for b in nodes[i + 2 :]:
+                k = next(k for k in range(bands) if (cut(whole[a], k) ^ cut(whole[b], k)).bit_count() <= 2)
+                u, v = cut(whole[a], k), cut(whole[b], k)
+                low = (u ^ v) & -(u ^ v)
+                place = min(u, v) if (u ^ v).bit_count() < 2 else min(u ^ low, v ^ low)
+                if (k << bits) + place == key and (whole[a] ^ whole[b]).bit_count() <= simhash.most_flipped(0.8, 64 * words):
+                    pairs.add((key, a, b))
+    assert len(near) > 500 and len(pairs) > 100
+    for chunk, bucket, paired in ((1 << 19, 1 << 18, 256), (500, 100, 256), (500, 100, 2)):
+        for name, x in (("PACKED_AT_ONCE", chunk), ("BUCKET", bucket), ("PAIRED", paired)):
+            monkeypatch.setattr(simhash, name, x)
+        rows = simhash.met_in_balls(texts, bits, bands, 0.8).collect()
+        assert {(x.key, x.leader, x.node) for x in rows if x.near} == near
+        crowded = {(x.key, x.node) for x in rows if x.crowded}
+        assert all((key, n) in crowded for key, a, b in pairs for n in (a, b))
+        assert all(x.leader == groups[x.key][0] < x.node for x in rows)
+    monkeypatch.setattr(simhash, "PACKED_AT_ONCE", 1 << 19)
+    many = spark.range(0, 4000, 1, 1).selectExpr("id as node", "array(xxhash64(id), xxhash64(id, 1), xxhash64(id, 2)) as simhash")
+    packs = simhash._dealt(simhash.ball_keys(many, bits, range(6)), bits + 4, 1).collect()
+    import zlib
+
+    assert sum(len(zlib.compress(x.packed, 1)) for x in packs) < 16 * 4000 * 6 * (bits + 1)
+    back = [simhash._unpack(x.packed) for x in packs]
+    want = simhash.ball_keys(many, bits, range(6)).collect()
+    unmix = pow(simhash.MIX, -1, 1 << bits + 4)
+    assert sorted((int(p) * unmix % (1 << bits + 4), int(n), int(f), int(i)) for b in back for p, n, f, i in zip(*b)) == sorted((x.key, x.node, x.fp - (0 if x.fp >= 0 else -(1 << 64)), x.flip) for x in want)
+
+
 def test_empty_table(spark, make, folder):
     assert simhash.op3_simhash(spark, folder(documents=make("x").limit(0))).count() == 0
     assert simhash.deduplicate(make("x").limit(0)).count() == 0

@@ -120,12 +120,18 @@ SHINGLE, SIMILARITY = 5, 0.8
 SPARE_BITS, RECALL = 6, 0.98
 #: Variants a text that are dealt at once: more bands take more rounds, and no more disk.
 ROUND_KEYS = 128
+#: Variants that a task packs at once, and that a bucket has; bytes of a packed variant, before compression; the odd factor that mixes keys.
+PACKED_AT_ONCE, BUCKET, PACKED_BYTES, MIX = 1 << 19, 1 << 18, 25, 0x9E3779B97F4A7C15
 #: Shingles whose SimHash bits are counted at once: as many as a byte counts.
 COUNTED_AT_ONCE = 255
 #: A band is one 64-bit word of eight min-wise symbols of a byte. Of pairs at 0.8, 1 - (1 - 0.8 ** 8) ** 32 = 0.997 share one.
 BANDS, SYMBOLS = 32, 8
 #: Standard errors that an estimate may lie below the similarity (beyond: 0.13 % of the pairs at the very threshold).
 ERRORS = 3.0
+#: The same for the few bits by which texts of a variant get their comparison (beyond: 3 to 9 in a million).
+PLACE_ERRORS = 5.0
+#: Texts of a variant up to which it tells by their first words, in pairs, who may be similar to whom; all of a larger one are compared.
+PAIRED = 256
 #: Shingles whose symbols are taken at once.
 SHINGLES_AT_ONCE = 2048
 #: Rows of a batch that a worker has as Python objects.
@@ -160,10 +166,10 @@ def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)
 
 
-def most_flipped(similarity: float, bits: int) -> int:
-    """SimHash bits of so many in which a pair of that similarity differs, but for chance beyond ERRORS standard errors."""
+def most_flipped(similarity: float, bits: int, errors: float = ERRORS) -> int:
+    """SimHash bits of so many in which a pair of that similarity differs, but for chance beyond so many standard errors."""
     p = flip_rate(similarity)
-    return math.floor(bits * p + ERRORS * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
 def _band(fingerprint: str, bits: int, k: int) -> Column:
@@ -176,27 +182,127 @@ def _band(fingerprint: str, bits: int, k: int) -> Column:
 
 
 def ball_keys(texts: DataFrame, bits: int, bands: range) -> DataFrame:
-    """(key, node, fp): the variants of radius 1 of the bands, the band's number above the bits; fp is the first word."""
-    cuts = texts.select("node", F.col("simhash")[0].alias("fp"), *(_band("simhash", bits, k).alias(f"cut{k}") for k in bands))
-    variants = [F.lit(k << bits) + F.col(f"cut{k}").bitwiseXOR(F.lit(m)) for k in bands for m in ball(1, bits)]
-    return cuts.select(F.explode(F.array(*variants)).alias("key"), "node", "fp")
+    """(key, flip, node, fp): the variants of radius 1 of the bands, the band's number above the bits.
+
+    flip is 0 for the band itself, else one more than the bit that is flipped;
+    fp is the first word.
+    """
+    cuts = F.array(*(F.lit(k << bits) + _band("simhash", bits, k) for k in bands))
+    each = texts.select("node", F.col("simhash")[0].alias("fp"), F.explode(cuts).alias("cut"))
+    flips = each.select("cut", "node", "fp", F.posexplode(F.array(*(F.lit(m) for m in ball(1, bits)))).alias("flip", "mask"))
+    return flips.select(F.col("cut").bitwiseXOR(F.col("mask")).alias("key"), F.col("flip").cast("tinyint").alias("flip"), "node", "fp")
+
+
+def _pack(place: np.ndarray, node: np.ndarray, fp: np.ndarray, flip: np.ndarray) -> bytes:
+    """Variants in the order of their places, byte by byte of each number: steps and ids have mostly zero and equal bytes, which the shuffle's compression takes out."""
+    steps = np.diff(place, prepend=np.uint64(0))
+    return b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in (steps, node, fp)) + flip.tobytes()
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(packed) // PACKED_BYTES
+    raw = np.frombuffer(packed, np.uint8)
+    steps, node, fp = (np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view(np.uint64).ravel() for i in range(3))
+    return np.cumsum(steps, dtype=np.uint64), node.view(np.int64), fp, raw[24 * n :].view(np.int8)
+
+
+def _dealt(keys: DataFrame, size: int, spread: int) -> DataFrame:
+    """(bucket, packed): ball keys below 2 ** size by places, their one-to-one mix; a bucket has those of equal ``spread`` top bits."""
+    mask, shift = np.uint64((1 << size) - 1), np.uint64(size - spread)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            key, flip, node, fp = (c.to_numpy() for c in pa.Table.from_batches(held).select(["key", "flip", "node", "fp"]).columns)
+            place = key.view(np.uint64) * np.uint64(MIX) & mask
+            order = np.argsort(place)
+            place, flip, node, fp = place[order], flip[order], node[order], fp[order]
+            bucket = (place >> shift).view(np.int64)
+            begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(begins[1:], len(bucket))
+            packs = [_pack(place[s:e], node[s:e], fp[s:e], flip[s:e]) for s, e in zip(begins.tolist(), ends.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), pa.array(packs, pa.binary())], names=["bucket", "packed"])
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PACKED_AT_ONCE:
+                yield chunk(held)
+                held, n = [], 0
+        if n:
+            yield chunk(held)
+
+    return keys.transform(shipped).mapInArrow(pack, "bucket bigint, packed binary")
+
+
+def _unlike(similarity: float, bits: int, k: int) -> tuple[np.uint64, int]:
+    """The bits of the first word that are not of band ``k``, and how many of them may differ in a pair, but for chance beyond PLACE_ERRORS."""
+    outside = ~(((1 << bits) - 1) << bits * k) & (1 << 64) - 1
+    return np.uint64(outside), most_flipped(similarity, outside.bit_count(), PLACE_ERRORS)
+
+
+def _meeting(bits: int, bands: int, similarity: float, packs: pa.Table) -> pa.Table:
+    """The rows of ``met_in_balls`` of a bucket."""
+    size = bits + bands.bit_length()
+    place, node, fp, flip = (np.concatenate(x) for x in zip(*(_unpack(p) for p in packs["packed"].to_pylist())))
+    order = np.argsort(place)
+    new = np.diff(place[order], prepend=~place[order[:1]]) != 0
+    alone = new & np.append(new[1:], True)
+    some = order[~alone]
+    some = some[np.lexsort((node[some], place[some]))]
+    place, node, fp, flip = place[some], node[some], fp[some], flip[some].astype(np.int64) - 1
+    key = (place * np.uint64(pow(MIX, -1, 1 << size)) & np.uint64((1 << size) - 1)).view(np.int64)
+    heads = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.diff(np.append(heads, len(key)))
+    each = lambda x: np.repeat(x, n)
+    led = np.ones(len(key), bool)
+    led[heads] = False
+    near = led & (np.bitwise_count(fp ^ each(fp[heads])) <= most_flipped(similarity, 64))
+    # two texts have their place here (see _first_ball) if both are the band itself, or if the higher bit that one of them flips is not set
+    low = (flip >= 0) & (key >> np.maximum(flip, 0) & 1 == 0)
+    crowded = led.copy()
+    if len(key):
+        top = np.maximum.reduceat(np.where(led & low, flip, -2), heads)
+        least = np.minimum.reduceat(np.where(led, flip, size), heads)
+        plain = np.add.reduceat((led & (flip < 0)).astype(np.int64), heads)
+        crowded &= (each(top) > flip) | (low & (each(least) < flip)) | ((flip < 0) & (each(plain) > 1))
+        # in all but large variants, pairs tell it by the first word too
+        outside, most = (np.array(x)[key >> bits] for x in zip(*(_unlike(similarity, bits, k) for k in range(bands))))
+        rest = each(n) - 1 - (np.arange(len(key)) - each(heads))
+        paired = each(n) > PAIRED
+        a = np.flatnonzero(led & (rest > 0) & ~paired)
+        for d in range(1, PAIRED):
+            a = a[rest[a] >= d]
+            if not len(a):
+                break
+            b = a + d
+            lower, upper = np.minimum(flip[a], flip[b]), np.maximum(flip[a], flip[b])
+            here = ((lower < upper) & (key[a] >> np.maximum(upper, 0) & 1 == 0)) | (upper < 0)
+            here &= np.bitwise_count((fp[a] ^ fp[b]) & outside[a]) <= most[a]
+            paired[a[here]] = paired[b[here]] = True
+        crowded &= paired
+    out = near | crowded
+    return pa.table([pa.array(x[out]) for x in (key, node, each(node[heads]), near, crowded)], names=["key", "node", "leader", "near", "crowded"])
 
 
 def met_in_balls(texts: DataFrame, bits: int, bands: int, similarity: float) -> DataFrame:
-    """(key, node, leader, n, near) of the variants of several texts; the leader is the least of them.
+    """(key, node, leader, near, crowded) of the variants of several texts; the leader is the least of them.
 
     ``near`` says whether the text is not the leader and may, by the first word,
-    reach the similarity with it. Of variants of two texts only near ones come
-    out, of larger ones all. A round deals ROUND_KEYS
-    variants a text, once, and its shuffle files go before the next.
+    reach the similarity with it; ``crowded``, whether it and another text that
+    is not the leader may, by the first word, be similar and have their place in
+    this variant. Only rows of either come out. A round deals ROUND_KEYS variants a text, packed, and its
+    shuffle files go before the next. A task has a bucket of some BUCKET
+    variants, but all of one variant.
     """
-    per, found = max(1, ROUND_KEYS // (bits + 1)), []
+    per, found, n = max(1, ROUND_KEYS // (bits + 1)), [], texts.count()
+    meet = functools.partial(_meeting, bits, bands, similarity)
     for at in range(0, bands, per):
-        keys = ball_keys(texts, bits, range(at, min(bands, at + per))).repartition("key")
-        leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.min_by("fp", "node").alias("first"), F.count("*").alias("n")).where("n > 1")
-        near = (F.col("node") != F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first"))) <= most_flipped(similarity, 64))
-        found.append(cut(keys.join(leaders, "key").select("key", "node", "leader", "n", near.alias("near")).where("near or n > 2")))
-        del keys, leaders
+        some = range(at, min(bands, at + per))
+        spread = max(0, math.ceil(math.log2(max(1, n * len(some) * (bits + 1)) / BUCKET)))
+        dealt = _dealt(ball_keys(texts, bits, some), bits + bands.bit_length(), spread)
+        found.append(cut(dealt.groupBy("bucket").applyInArrow(lambda t: meet(t), "key bigint, node bigint, leader bigint, near boolean, crowded boolean")))
+        del dealt
         release(texts.sparkSession)
     return functools.reduce(DataFrame.union, found)
 
@@ -443,7 +549,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     roots = components(links)
     long = texts.drop("sketch").withColumnRenamed("simhash", "sketch")
     likely = _differing("x", "y", words) <= most_flipped(similarity, 64 * words)
-    more = cut(across(keyed, met.where("n > 2").drop("near"), roots, long, similarity, width, likely, _first_ball("x", "y", bits, bands)).distinct())
+    more = cut(across(keyed, met.where("crowded").select("key", "node", "leader"), roots, long, similarity, width, likely, _first_ball("x", "y", bits, bands)).distinct())
     if not more.isEmpty():
         links = links.union(more)
         roots = components(links)
